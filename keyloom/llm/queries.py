@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_cnn import classify_quality
 from .common import documents
+from .context_tree import score_texts
 from .exact_dedup import exact_dedup
+from .lang_id import detect_language
 from .mixing import mix_sources
 from .quality_rules import quality_rules
 from .sp_nbest import encode_nbest
@@ -21,6 +24,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_language(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -30,11 +37,19 @@ def op6_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", F.get("n_tokens", F.lit(0)).alias("n_pieces"), "n_tokens", "scores", "sha256", "round_trip")
 
 
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op5_exact_dedup, op6_nbest_pieces, op8_quality_rules)}
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op4_language_id, op5_exact_dedup, op6_nbest_pieces, op7_quality_cnn, op8_quality_rules, op9_context_tree)}
 
 ORACLE: dict[str, str] = {}
