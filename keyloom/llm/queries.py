@@ -9,6 +9,7 @@ from .byte_cnn import classify_quality
 from .common import documents
 from .context_tree import score_texts
 from .exact_dedup import exact_dedup
+from .jaccard_trie import jaccard_components
 from .lang_id import detect_language
 from .mixing import mix_sources
 from .quality_rules import quality_rules
@@ -50,6 +51,10 @@ def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op4_language_id, op5_exact_dedup, op6_nbest_pieces, op7_quality_cnn, op8_quality_rules, op9_context_tree)}
+def op10_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op4_language_id, op5_exact_dedup, op6_nbest_pieces, op7_quality_cnn, op8_quality_rules, op9_context_tree, op10_jaccard_trie)}
 
 ORACLE: dict[str, str] = {}
