@@ -141,3 +141,13 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         ok = F.col(m) <= F.col(f"{m}_limit") if side == "upper" else F.col(m) >= F.col(f"{m}_limit")
         good = good & F.coalesce(ok, F.lit(True))
     return met.drop("t_lang", "t_source").withColumn("kept", good)
+
+
+def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
+    """The rows that the rules keep, with their own columns. Rows meet their verdict by id and the text's hash, as one id may
+    have several texts; its language and source decide too, so of several verdicts for one pair each row needs a good one."""
+    names = docs.columns
+    marked = docs.select(*names, F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h"))
+    judged = quality_rules(marked.select(F.col("__id"), F.col("__h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")), min_docs=min_docs)
+    good = judged.groupBy(F.col("__id").alias("k"), F.col("__h").alias("h")).agg(F.min("kept").alias("good")).filter("good")
+    return marked.join(good, F.col("__id").eqNullSafe(F.col("k")) & (F.col("__h") == F.col("h")), "left_semi").select(*names)

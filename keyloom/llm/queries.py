@@ -14,9 +14,16 @@ from .lang_id import detect_language
 from .mixing import mix_sources
 from .quality_rules import quality_rules
 from .sp_nbest import encode_nbest
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
+    out = remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -55,6 +62,6 @@ def op10_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op4_language_id, op5_exact_dedup, op6_nbest_pieces, op7_quality_cnn, op8_quality_rules, op9_context_tree, op10_jaccard_trie)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_mix_sources, op4_language_id, op5_exact_dedup, op6_nbest_pieces, op7_quality_cnn, op8_quality_rules, op9_context_tree, op10_jaccard_trie)}
 
 ORACLE: dict[str, str] = {}

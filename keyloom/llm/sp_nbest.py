@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .pieces import SPACE, default_path, pretokens, vocabulary
 from .token_counts import slices
 
-PENALTY, KEPT = 10.0, 600_000
+PENALTY, KEPT = 10.0, 1_000_000
 #: Pre-tokens of more characters aren't kept in a task's table.
 LONG = 64
 
@@ -85,57 +85,60 @@ class Lattice:
         return out
 
     def viterbi(self, word: str) -> tuple[float, float, tuple[int, ...]]:
-        """Score of the best path, of the second best (minus infinity if there is none), and the best path."""
+        """Score of the best path, what the second best loses against it (infinity if there is none), and the best path."""
         n, begins, none = len(word), self.begins, float("-inf")
-        one, two, back = [none] * (n + 1), [none] * (n + 1), [(0, ())] * (n + 1)
+        one, two, start, piece = [none] * (n + 1), [none] * (n + 1), [0] * (n + 1), [()] * (n + 1)
         one[0] = 0.0
         for i in range(n):
-            x, y = one[i], two[i]
-            if word[i] not in self.vocab.ids:
+            x, y, j = one[i], two[i], i + 1
+            hit = begins.get(word[i:j])
+            longer = hit is not None
+            if not hit:  # no piece of one character: its bytes
                 raw = word[i].encode("utf-8", "surrogatepass")
-                s = self.byte_score * len(raw)
-                if (z := x + s) > one[i + 1]:
-                    two[i + 1] = one[i + 1] if one[i + 1] > y + s else y + s
-                    one[i + 1], back[i + 1] = z, (i, tuple(self.vocab.byte_ids[b] for b in raw))
-                elif z > two[i + 1]:
-                    two[i + 1] = z
-            for j in range(i + 1, n + 1):
-                hit = begins.get(word[i:j])
-                if hit is None:  # no piece begins like this
-                    break
+                hit = (self.byte_score * len(raw), tuple(self.vocab.byte_ids[b] for b in raw))
+            while True:
                 if hit:
                     s = hit[0]
-                    if (z := x + s) > one[j]:
-                        two[j] = one[j] if one[j] > y + s else y + s
-                        one[j], back[j] = z, (i, hit[1])
+                    z = x + s
+                    if z > one[j]:
+                        s += y
+                        two[j] = one[j] if one[j] > s else s
+                        one[j], start[j], piece[j] = z, i, hit[1]
                     elif z > two[j]:
                         two[j] = z
+                if j == n or not longer:
+                    break
+                j += 1
+                hit = begins.get(word[i:j])
+                if hit is None:  # no piece begins like this
+                    break
         path: list[tuple[int, ...]] = []
         at = n
         while at:
-            at, p = back[at]
-            path.append(p)
-        return one[n], two[n], tuple(chain.from_iterable(reversed(path)))
+            path.append(piece[at])
+            at = start[at]
+        return one[n], one[n] - two[n], tuple(chain.from_iterable(reversed(path)))
 
     def best(self, word: str) -> tuple[float, float, tuple[int, ...]]:
-        if len(word) > LONG:
-            return self.viterbi(word)
-        if (hit := self.known.get(word)) is None:
-            hit = self.known[word] = self.viterbi(word)
+        """viterbi() of a pre-token without its space mark, from the task's table."""
+        hit = self.viterbi(SPACE + word)
+        if len(word) <= LONG:
+            self.known[word] = hit
         return hit
 
     def segment(self, text: str, n: int = 1) -> tuple[list[int], list[tuple[float, list[tuple[int, tuple[int, ...], tuple[int, ...]]]]]]:
         """The best ids of a text, and its n best as (score, [(pre-token, best ids there, ids instead)])."""
-        words = [SPACE + w for w in pretokens(text)]
+        words = pretokens(text)
         if len(self.known) > KEPT:
             self.known.clear()
-        known = self.known
-        paths = [known.get(w) or self.best(w) for w in words]
-        first = sum(p[0] for p in paths)
+        get, best = self.known.get, self.best
+        paths = [get(w) or best(w) for w in words]
+        first = sum([p[0] for p in paths])
         # alternatives by what they lose against the best: the second best score tells which pre-tokens can be among the
         # n of least loss, and only those are searched
-        close = heapq.nsmallest(n - 1, ((p[0] - p[1], k) for k, p in enumerate(paths) if p[1] > float("-inf"))) if n > 1 else []
-        other = {k: [x for x in self.nbest(words[k], n) if x[1] != paths[k][2]][: n - 1] for _, k in close}
+        losses = [p[1] for p in paths]
+        close = [(x, k) for x, k in heapq.nsmallest(n - 1, zip(losses, range(len(losses)), strict=True)) if x < float("inf")] if n > 1 else []
+        other = {k: [x for x in self.nbest(SPACE + words[k], n) if x[1] != paths[k][2]][: n - 1] for _, k in close}
         loss = heapq.nsmallest(n - 1, ((paths[k][0] - s, k, r) for k, found in other.items() for r, (s, _) in enumerate(found)))
         found: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         for lost, k, r in loss:
@@ -144,7 +147,7 @@ class Lattice:
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text: (score, ids), best first."""
-        words = [self.best(SPACE + w)[2] for w in pretokens(text)]
+        words = [self.best(w)[2] for w in pretokens(text)]
         out = []
         for score, changes in self.segment(text, n)[1]:
             row = {k: p for k, _, p in changes}
