@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .pieces import SPACE, default_path, pretokens, vocabulary
 from .token_counts import slices
 
-PENALTY, KEPT = 10.0, 1_000_000
+PENALTY, KEPT, BATCH = 10.0, 500_000, 50_000
 #: Pre-tokens of more characters aren't kept in a task's table.
 LONG = 64
 
@@ -43,7 +43,25 @@ class Lattice:
         #: For every beginning of a piece: the piece's score and ids, or nothing where it is no piece itself.
         self.begins: dict[str, tuple] = {p[:k]: () for p in v.ids for k in range(1, len(p))}
         self.begins |= {p: (v.score[i], (i,)) for p, i in v.ids.items()}
-        self.known: dict[str, tuple[float, float, tuple[int, ...]]] = {}
+        #: Characters written as one byte piece, such as line ends, are pieces in all but name.
+        self.single_bytes = {chr(b): v.byte_ids[b] for b in range(128) if chr(b) not in v.ids}
+        self.begins |= {c: (self.byte_score, (i,)) for c, i in self.single_bytes.items()}
+        self.characters = {p for p in v.ids if len(p) == 1} | self.single_bytes.keys()
+        self.shown = [chr(v.byte_of[i]) if v.byte_of.get(i, 255) < 128 else t for i, t in enumerate(v.text)]
+        self.high = {i for i, b in v.byte_of.items() if b > 127}
+        # the same as numbers: keys are a state and the next character, and lead to the state of the key's place plus 1. Levels
+        # follow each other, so parents have smaller numbers and all keys ascend.
+        keys, pieces, number = [], [], {"": 0}
+        for size in range(1, v.longest + 1):
+            for key, p in sorted((number[p[:-1]] << 21 | ord(p[-1]), p) for p in self.begins if len(p) == size):
+                keys.append(key)
+                pieces.append(v.ids.get(p, self.single_bytes.get(p, -1)))
+                number[p] = len(keys)
+        self.trie_keys, self.trie_piece = np.array(keys, dtype=np.int64), np.array(pieces, dtype=np.int32)
+        self.piece_score = np.array([self.byte_score if i in v.byte_of else x for i, x in enumerate(v.score)])
+        self.known: dict[str, tuple[float, float, bytes]] = {}
+        self.bad: set[str] = set()
+        self.large: list[str] = []
 
     def arcs(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end position, the arcs into it: (start, score, ids)."""
@@ -119,46 +137,130 @@ class Lattice:
             at = start[at]
         return one[n], one[n] - two[n], tuple(chain.from_iterable(reversed(path)))
 
-    def best(self, word: str) -> tuple[float, float, tuple[int, ...]]:
-        """viterbi() of a pre-token without its space mark, from the task's table."""
-        hit = self.viterbi(SPACE + word)
-        if len(word) <= LONG:
-            self.known[word] = hit
-        return hit
-
-    def segment(self, text: str, n: int = 1) -> tuple[list[int], list[tuple[float, list[tuple[int, tuple[int, ...], tuple[int, ...]]]]]]:
-        """The best ids of a text, and its n best as (score, [(pre-token, best ids there, ids instead)])."""
-        words = pretokens(text)
-        if len(self.known) > KEPT:
-            self.known.clear()
-        get, best = self.known.get, self.best
-        paths = [get(w) or best(w) for w in words]
+    def viterbi_batch(self, words: list[str]) -> list[tuple[float, float, bytes]]:
+        """viterbi() of many pre-tokens at once, all of whose characters are pieces. One node stands before each character and one
+        at each end; pieces are found by walking the trie of their beginnings from all characters in step."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+        length = np.array([len(w) for w in words])
+        last = np.cumsum(length)
+        owner = np.repeat(np.arange(len(words)), length)
+        room = last[owner] - np.arange(len(codes))  # characters to the word's end
+        node = np.arange(len(codes)) + owner
+        state, at, found = np.zeros(len(codes), np.int64), np.arange(len(codes)), []
+        for step in range(1, self.vocab.longest + 1):
+            key = state << 21 | codes[at + step - 1]
+            hit = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
+            good = self.trie_keys[hit] == key
+            state, at = hit[good] + 1, at[good]
+            piece = self.trie_piece[state - 1]
+            is_piece = piece >= 0
+            found.append((at[is_piece], np.full(int(is_piece.sum()), step), piece[is_piece]))
+            more = room[at] > step
+            state, at = state[more], at[more]
+            if not len(at):
+                break
+        # the longest first, so that of equal scores into one node the earliest start wins, as in viterbi()
+        start, step, piece = (np.concatenate(x) for x in zip(*reversed(found), strict=True))
+        ends = (start - (last - length)[owner[start]]) + step  # position within the word
+        order = np.argsort(node[start] + step, kind="stable")
+        order = order[np.argsort(ends[order].astype(np.uint16), kind="stable")]
+        start, step, piece, ends = node[start[order]], step[order], piece[order], ends[order]
+        into, gain = start + step, self.piece_score[piece]
+        one = np.full(len(codes) + len(words), -np.inf)
+        two, link, used = one.copy(), np.zeros(len(one), np.int64), np.zeros(len(one), np.int32)
+        first = last - length + np.arange(len(words))
+        one[first] = 0.0
+        cuts = np.searchsorted(ends, np.arange(1, int(length.max()) + 2))
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # arcs that end at one position of their words
+            if a == z:
+                continue
+            st, e = start[a:z], into[a:z]
+            group = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
+            best = one[st] + gain[a:z]
+            top = np.maximum.reduceat(best, group)
+            turn = np.repeat(np.arange(len(group)), np.diff(np.r_[group, z - a]))
+            lead = np.flatnonzero(best == top[turn])
+            lead = lead[np.r_[True, turn[lead][1:] != turn[lead][:-1]]]
+            second = np.maximum.reduceat(two[st] + gain[a:z], group)
+            best[lead] = -np.inf
+            here = e[group]
+            one[here], two[here] = top, np.maximum(second, np.maximum.reduceat(best, group))
+            link[here], used[here] = st[lead], piece[a:z][lead]
+        final = first + length
+        walk, who, back = final.copy(), np.arange(len(words)), []
+        while len(who):
+            back.append((who, used[walk]))
+            walk = link[walk]
+            live = walk > first[who]
+            who, walk = who[live], walk[live]
+        names, ids = (np.concatenate(x) for x in zip(*reversed(back), strict=True))
+        order = np.argsort(names, kind="stable")
+        raw, bounds = ids[order].astype("<i4").tobytes(), 4 * np.searchsorted(names[order], np.arange(len(words) + 1))
+        score, loss, bounds = one[final].tolist(), (one[final] - two[final]).tolist(), bounds.tolist()
+        return [(score[k], loss[k], raw[bounds[k] : bounds[k + 1]]) for k in range(len(words))]
+
+    def single(self, word: str) -> tuple[float, float, bytes]:
+        score, loss, ids = self.viterbi(SPACE + word)
+        return score, loss, np.array(ids, dtype="<i4").tobytes()
+
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[float, float, bytes]]:
+        """The table of best paths, with these pre-tokens (without their space marks) added."""
+        known, pieces = self.known, self.characters
+        if len(known) > KEPT:
+            known.clear()
+        for w in self.large:
+            known.pop(w, None)
+        fresh = [w for w in words if w not in known]
+        plain = [w for w in fresh if len(w) < LONG and (w.isascii() or pieces >= set(w))]
+        for a in range(0, len(plain), BATCH):
+            some = plain[a : a + BATCH]
+            known.update(zip(some, self.viterbi_batch([SPACE + w for w in some]), strict=True))
+        for w in fresh:
+            if w not in known:
+                known[w] = self.single(w)
+        self.large = [w for w in fresh if len(w) >= LONG]
+        # every path that the table holds decodes to its pre-token
+        raw = b"".join([known[w][2] for w in fresh])
+        if self.marked(np.frombuffer(raw, "<i4").tolist()) != "".join([SPACE + w for w in fresh]):
+            self.bad |= {w for w in fresh if self.marked(np.frombuffer(known[w][2], "<i4").tolist()) != SPACE + w}
+        return known
+
+    def segment(self, text: str, n: int = 1, words: list[str] | None = None) -> tuple[bytes, list[tuple[float, list[tuple[int, bytes, tuple[int, ...]]]]], bool]:
+        """The best ids of a text (little-endian int32), its n best as (score, [(pre-token, best ids there, ids instead)]), and
+        whether all of them decode to the text."""
+        if words is None:
+            words = pretokens(text)
+            self.learn(dict.fromkeys(words))
+        known = self.known
+        paths = [known[w] for w in words]
         first = sum([p[0] for p in paths])
         # alternatives by what they lose against the best: the second best score tells which pre-tokens can be among the
         # n of least loss, and only those are searched
         losses = [p[1] for p in paths]
         close = [(x, k) for x, k in heapq.nsmallest(n - 1, zip(losses, range(len(losses)), strict=True)) if x < float("inf")] if n > 1 else []
-        other = {k: [x for x in self.nbest(SPACE + words[k], n) if x[1] != paths[k][2]][: n - 1] for _, k in close}
+        other = {k: [x for x in self.nbest(SPACE + words[k], n) if np.array(x[1], "<i4").tobytes() != paths[k][2]][: n - 1] for _, k in close}
         loss = heapq.nsmallest(n - 1, ((paths[k][0] - s, k, r) for k, found in other.items() for r, (s, _) in enumerate(found)))
         found: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         for lost, k, r in loss:
             found = heapq.nsmallest(n, found + [(x + lost, (*c, (k, r))) for x, c in found if all(k != q for q, _ in c)])
-        return list(chain.from_iterable(p[2] for p in paths)), [(first - lost, [(k, paths[k][2], other[k][r][1]) for k, r in sorted(c)]) for lost, c in found]
+        out = [(first - lost, [(k, paths[k][2], other[k][r][1]) for k, r in sorted(c)]) for lost, c in found]
+        whole = self.bad.isdisjoint(words) and all(self.marked(q) == SPACE + words[k] for _, c in out for k, _, q in c)
+        return b"".join([p[2] for p in paths]), out, whole
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text: (score, ids), best first."""
-        words = [self.best(w)[2] for w in pretokens(text)]
-        out = []
-        for score, changes in self.segment(text, n)[1]:
+        words, out = pretokens(text), []
+        known = self.learn(dict.fromkeys(words))
+        for score, changes in self.segment(text, n, words)[1]:
             row = {k: p for k, _, p in changes}
-            out.append((score, [i for k, p in enumerate(words) for i in row.get(k, p)]))
+            out.append((score, [i for k, w in enumerate(words) for i in row.get(k) or np.frombuffer(known[w][2], "<i4").tolist()]))
         return out
 
     def marked(self, ids: Iterable[int]) -> str:
         """The text of ids with space marks; bytes that are no UTF-8 come back as U+FFFD."""
         ids = list(ids)
-        if self.byte_of.keys().isdisjoint(ids):
-            return "".join(map(self.vocab.text.__getitem__, ids))
+        if self.high.isdisjoint(ids):
+            return "".join(map(self.shown.__getitem__, ids))
         return b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.vocab.text[i].encode() for i in ids).decode("utf-8", "replace")
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -186,19 +288,19 @@ def encode_nbest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for a, z in slices(texts):
                 rows, parts = [], []
-                for k, t in zip(keys[a:z], texts[a:z], strict=True):
-                    best, found = m.segment(t, n)
-                    raw = np.array(best, dtype="<i4")
-                    sha = hashlib.sha256(raw.tobytes())
+                each = [pretokens(t) for t in texts[a:z]]
+                m.learn(dict.fromkeys(chain.from_iterable(each)))
+                for k, t, words in zip(keys[a:z], texts[a:z], each, strict=True):
+                    raw, found, back = m.segment(t, n, words)
+                    sha = hashlib.sha256(raw)
                     sha.update(repr([[(w, p) for w, _, p in c] for _, c in found[1:]]).encode())
-                    back = m.decode(best) == t.replace(SPACE, " ") and all(m.marked(p) == m.marked(q) for _, c in found for _, p, q in c)
-                    sizes = [len(best) + sum(len(q) - len(p) for _, p, q in c) for _, c in found]
+                    sizes = [len(raw) // 4 + sum(len(q) - len(p) // 4 for _, p, q in c) for _, c in found]
                     rows.append((k, len(t.encode("utf-8", "surrogatepass")), [s for s, _ in found], sizes, sha.hexdigest(), back))
                     parts.append(raw)
                 key, size, scores, sizes, sha, back = zip(*rows, strict=True)
                 if with_ids:
-                    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+                    ends = (np.cumsum([0, *map(len, parts)]) // 4).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
                 else:
                     ids = pa.nulls(len(rows), pa.list_(pa.int32()))
                 cols = [pa.array(key, pa.int64()), pa.array(size, pa.int64()), ids, pa.array(scores, pa.list_(pa.float64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(sha), pa.array(back)]
