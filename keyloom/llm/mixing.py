@@ -10,11 +10,11 @@ mean (FRONT, FLAT, BACK by turns). Its integral, times the target, is the source
 line up by hash; the one whose words begin at c of the line trains at the t where D(t) = c, the root of a quadratic, and
 each further epoch at D(t) = c + epoch * source size. Documents are then range-sorted by position.
 
-The running sum over a source is dealt in LANES hash ranges: lane totals are summed first, then rows within a lane, so
-a source with a third of all rows spreads over LANES tasks. No row is sampled or dropped before the sums.
+The running sum over a source is dealt in 4,096 lanes, ranges of the hash: lane totals are summed first, then rows within
+a lane, so a source with a third of all rows spreads over thousands of tasks. No row is sampled or dropped before the sums.
 
 Defined results: null or empty text has size 0 and takes 0; a null source is a source, the last; a null id hashes as
-null; repeated rows each take their share; an empty table gives an empty result.
+an empty text; repeated rows each take their share; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import Window as W
 
 from .common import WORD, saved
 
-WEIGHTS, MAX_REPEAT, LANES = (5, 2, 1), 3, 1024
+#: A lane is named by the first digits of a hash in hexadecimal.
+WEIGHTS, MAX_REPEAT, LANE_DIGITS = (5, 2, 1), 3, 3
 #: Slope of the schedule by rank: weight(t) = 1 + slope * (2 t - 1).
 SLOPES = (-0.5, 0.0, 0.5)
 
@@ -67,9 +68,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, size, source_size, target, taken, source, positions (one for each epoch, of those it
     takes words in) and first_position, sorted by first_position."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    spread = F.xxhash64(F.col(id_col))
+    spread = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), size.alias("size"), spread.alias("h"))
-    rows = saved(rows.withColumn("lane", F.pmod("h", F.lit(LANES)).cast("int")))
+    rows = saved(rows.withColumn("lane", F.substring("h", 1, LANE_DIGITS)))
     lanes = rows.groupBy("src", "lane").agg(F.sum("size").alias("words"))
     plan = saved(targets(lanes.groupBy("src").agg(F.sum("words").alias("source_size"))))
     before = W.partitionBy("src").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)

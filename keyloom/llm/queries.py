@@ -12,7 +12,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_trie import jaccard_components
 from .lang_id import detect_language
 from .mixing import mix_sources
-from .quality_rules import quality_rules
+from .quality_rules import MIN_DOCS, RULES, quality_rules
 from .sp_nbest import encode_nbest
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
@@ -65,3 +65,73 @@ def op10_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_mix_sources, op4_language_id, op5_exact_dedup, op6_nbest_pieces, op7_quality_cnn, op8_quality_rules, op9_context_tree, op10_jaccard_trie)}
 
 ORACLE: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE["op5_exact_dedup"] = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)"""
+
+ORACLE["op3_mix_sources"] = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+o AS (SELECT *, 3 * source_size AS cap, coalesce(sum(3 * source_size) OVER below, 0) AS low, sum(weight) OVER () - coalesce(sum(weight) OVER below, 0) AS high, sum(source_size) OVER () AS total
+  FROM w WINDOW below AS (ORDER BY 3 * source_size * (10 // weight), rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (total - low)::DOUBLE / high::DOUBLE AS level FROM o),
+f AS (SELECT arg_min(level, low) AS level FROM l WHERE level * weight <= cap),
+t AS (SELECT source, source_size, CASE WHEN f.level IS NULL OR f.level * weight > cap THEN cap::DOUBLE ELSE f.level * weight END AS target FROM l LEFT JOIN f ON true),
+p AS (SELECT d.*, t.source_size, t.target, round(target)::BIGINT AS words, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * size + least(greatest(words % source_size - before, 0), size) END)::BIGINT AS taken FROM p"""
+
+ORACLE["op10_jaccard_trie"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i:i+2]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.x = d.doc_id"""
+
+
+def _rules_sql() -> str:
+    value = lambda m: "word_len" if m == "short_word" else m
+    each = ", ".join(f"{{'metric': '{m}', 'v': {value(m)}}}" for m in RULES)
+    limit = " ".join(
+        f"WHEN '{m}' THEN q90 + {times} * (q90 - q50) + {margin}" if side == "upper" else f"WHEN '{m}' THEN q10 - {times} * (q50 - q10) - {margin}" for m, (side, _, _, times, margin) in RULES.items()
+    )
+    tests = " AND ".join(f"coalesce({value(m)} {'<=' if side == 'upper' else '>='} max(v) FILTER (metric = '{m}'), true)" for m, (side, *_) in RULES.items())
+    at = lambda q: f"min(bucket) FILTER (upto * 100 >= total * {q}) AS q{q}"
+
+    def level(name: str, source: str, keys: str) -> str:
+        by = f"{keys}, " if keys else ""
+        return f"""{name}_r AS (SELECT {by}metric, bucket, sum(sum(n)) OVER (PARTITION BY {by}metric ORDER BY bucket) AS upto, sum(sum(n)) OVER (PARTITION BY {by}metric) AS total FROM {source} GROUP BY {by}metric, bucket),
+{name} AS (SELECT {by}metric, any_value(total) AS total, {at(10)}, {at(50)}, {at(90)} FROM {name}_r GROUP BY {by}metric)"""
+
+    return rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, row_number() OVER () AS u FROM documents),
+g AS (SELECT u, i, count(*) OVER (PARTITION BY u, g) AS c FROM (SELECT u, unnest(range(1, len(w) - 3)) AS i, w[i:i+4] AS g FROM d)),
+r AS (SELECT u, count(DISTINCT p) AS n_repeat_words FROM (SELECT u, unnest(range(i, i + 5)) AS p FROM g WHERE c > 1) GROUP BY u),
+b AS (SELECT u, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines FROM d LEFT JOIN r USING (u)),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 1000 * n_symbols // greatest(n_words, 1) AS symbol_pm, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_pm,
+  1000 * n_repeat_words // greatest(n_words, 1) AS repeat_pm, 100 * word_chars // greatest(n_words, 1) AS word_len FROM b),
+k AS (SELECT lang, source, x.metric AS metric, (x.v >> greatest(length(bin(x.v)) - 7, 0)) << greatest(length(bin(x.v)) - 7, 0) AS bucket, count(*) AS n
+  FROM (SELECT lang, source, unnest([{each}]) AS x FROM m WHERE NOT base_failed) GROUP BY ALL),
+{level("by_source", "k", "lang, source")},
+{level("by_lang", "k", "lang")},
+{level("by_all", "k", "")},
+q AS (SELECT s.lang, s.source, s.metric, CASE WHEN s.total >= {MIN_DOCS} THEN s.q10 WHEN l.total >= {MIN_DOCS} THEN l.q10 ELSE a.q10 END AS q10,
+  CASE WHEN s.total >= {MIN_DOCS} THEN s.q50 WHEN l.total >= {MIN_DOCS} THEN l.q50 ELSE a.q50 END AS q50, CASE WHEN s.total >= {MIN_DOCS} THEN s.q90 WHEN l.total >= {MIN_DOCS} THEN l.q90 ELSE a.q90 END AS q90
+  FROM by_source s JOIN by_lang l ON s.lang IS NOT DISTINCT FROM l.lang AND s.metric = l.metric JOIN by_all a ON a.metric = s.metric),
+v AS (SELECT lang, source, metric, CASE metric {limit} END AS v FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {tests} AS kept
+FROM m LEFT JOIN v ON m.lang IS NOT DISTINCT FROM v.lang AND m.source IS NOT DISTINCT FROM v.source
+GROUP BY u, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, symbol_pm, dup_line_pm, repeat_pm, word_len"""
+
+
+ORACLE["op8_quality_rules"] = _rules_sql()
