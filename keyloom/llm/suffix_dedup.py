@@ -5,8 +5,8 @@ texts can't be built in one place, so strings are dealt by content first: every
 smallest hash of the k-grams within it, and a run of windows with one such minimizer, a segment, goes to that minimizer's
 bucket as one piece of text. Equal windows have equal minimizers, so all occurrences of a string meet in one bucket.
 
-In each bucket, segments that hold a window hash seen twice are put together and their suffixes sorted by the two-stage
-method: suffixes smaller than their successors are sorted directly, in rounds of eight bytes among those still tied; the rest
+In each bucket, a segment that a smaller id holds as a whole goes as a whole. Of the others, those that hold a window hash seen
+twice are put together and their suffixes sorted by the two-stage method: suffixes smaller than their successors are sorted directly, in rounds of eight bytes among those still tied; the rest
 are induced by one scan over the buckets of first bytes. Common prefixes of neighbours in the array are then computed, and runs
 of `length` or more bytes in common give each string's smallest document.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import number, original, saved
 
-LENGTH, BUCKET, BATCH, LEVEL = 50, 24_000_000, 12_000_000, 6
+LENGTH, BUCKET, BATCH, LEVEL = 50, 6_000_000, 6_000_000, 5
 _MULS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
 
@@ -41,15 +41,19 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     level, n, size = [(raw.astype(np.uint64) + np.uint64(1)) * _MULS[0]], 1, len(raw)
     while n * 2 <= k:
         h = level[-1]
-        level.append(h[:-n] * _MULS[len(level) % 7] + (h[n:] ^ (h[n:] >> np.uint64(29))))
+        level.append(h[:-n] * _MULS[len(level) % 7])
+        level[-1] += h[n:]
         n *= 2
     out, done = level[-1][: size - k + 1], n
     for i in range(len(level) - 2, -1, -1):
         if k - done >= 1 << i:
-            out = out * _MULS[3] + level[i][done : done + size - k + 1]
+            out = out * _MULS[3]
+            out += level[i][done : done + size - k + 1]
             done += 1 << i
-    out = (out ^ (out >> np.uint64(32))) * _MULS[5]
-    return out ^ (out >> np.uint64(29))
+    out = out ^ (out >> np.uint64(32))
+    out *= _MULS[5]
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def window_least(h: np.ndarray, w: int) -> np.ndarray:
@@ -60,6 +64,16 @@ def window_least(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[:size], m[w - n : w - n + size])
 
 
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """A stable sort of whole numbers from 0, by digits of 16 bits, for which numpy counts instead of comparing."""
+    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    most, shift = int(values.max(initial=0)) >> 16, 16
+    while most:
+        order = order[np.argsort((values[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+        most, shift = most >> 16, shift + 16
+    return order
+
+
 def two_stage_sort(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of text in the order of their suffixes, right to depth bytes at least; and each place's eight bytes as a number."""
     n = len(text)
@@ -73,7 +87,7 @@ def two_stage_sort(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     smaller = step[np.minimum.accumulate(change[::-1])[::-1]] > 0
     # first stage: sort these directly
     place = np.flatnonzero(smaller)
-    place = place[np.argsort(eight[place], kind="stable")]
+    place = place[np.argsort(eight[place])]
     group = np.cumsum(np.r_[False, eight[place][1:] != eight[place][:-1]]) if len(place) else place
     for done in range(8, depth, 8):
         tied = np.zeros(len(place), dtype=bool)
@@ -83,8 +97,8 @@ def two_stage_sort(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
         if not len(at):
             break
         some, key = place[at], eight[place[at] + done]
-        order = np.argsort(key, kind="stable")
-        order = order[np.argsort(group[at][order], kind="stable")]
+        order = np.argsort(key)
+        order = order[stable_order(group[at][order])]
         place[at] = some[order]
         key = key[order]
         new = np.ones(len(place), dtype=bool)
@@ -138,53 +152,71 @@ def common_prefixes(order: np.ndarray, eight: np.ndarray, depth: int) -> np.ndar
     return out
 
 
-def _hashes(data: np.ndarray, length: int) -> np.ndarray:
-    parts, step = [], 2_000_000
-    for a in range(0, len(data) - length + 1, step):
-        parts.append(gram_hashes(data[a : a + step + length - 1], length))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-
-
-def repeated(data: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """data: segments one after the other, of these sizes and owners (ranks of ids). The windows that also start in a smaller
-    owner: (segment, offset)."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    count = np.maximum(size - length + 1, 0)
-    if not count.sum():
-        return none
-    ends = np.cumsum(size)
-    begin = ends - size
-    segment = np.repeat(np.arange(len(size)), count)
-    offset = np.arange(len(segment)) - np.repeat(np.cumsum(count) - count, count)
-    place = begin[segment] + offset
-    # only windows whose hash occurs twice can repeat
-    h = _hashes(data, length)[place]
+def _repeating(data: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Which of these places, in ascending order, begin windows whose hash occurs at two of them or more."""
+    step, h = 1 << 16, np.empty(len(place), np.uint64)
+    cuts = np.searchsorted(place, np.arange(0, len(data) + step, step))
+    for k, a in enumerate(range(0, len(data), step)):  # parts that fit the processor's cache
+        x, y = cuts[k], cuts[k + 1]
+        if x < y:
+            h[x:y] = gram_hashes(data[a : a + step + length - 1], length)[place[x:y] - a]
     ranked = np.sort(h)
     twice = ranked[1:][ranked[1:] == ranked[:-1]]
     if not len(twice):
-        return none
-    twice = twice[np.r_[True, twice[1:] != twice[:-1]]]
-    hit = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
-    segment, offset, place = segment[hit], offset[hit], place[hit]
+        return np.zeros(0, np.int64)
+    # most others leave by a table of 22 bits of the hash; a search decides on the rest
+    table = np.zeros(1 << 22, bool)
+    table[twice >> np.uint64(42)] = True
+    maybe = np.flatnonzero(table[h >> np.uint64(42)])
+    h = h[maybe]
+    return maybe[twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h]
+
+
+def repeated(data: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """data: segments one after the other, of these sizes and owners (ids). What also starts in a smaller owner: (segment, from,
+    to) of each window, or of a whole segment that a smaller owner holds as it is."""
+    ends = np.cumsum(size)
+    begin = ends - size
+    # whole segments first: the smallest owner's stays in the search, and others of that owner
+    raw, first, gone = data.tobytes(), {}, []
+    order = np.argsort(owner, kind="stable")
+    for k, who, a, z in zip(order.tolist(), owner[order].tolist(), begin[order].tolist(), ends[order].tolist(), strict=True):
+        if first.setdefault(raw[a:z], who) < who:
+            gone.append(k)
+    del first
+    count = np.maximum(size - length + 1, 0)
+    whole = np.array(gone, dtype=np.int64)
+    count[whole] = 0
+    out = whole, np.zeros(len(whole), np.int64), size[whole]
+    if not count.sum():
+        return out
+    before = np.cumsum(count) - count
+    place = np.arange(count.sum(), dtype=np.int32)
+    place += np.repeat((begin - before).astype(np.int32), count)
+    # only windows whose hash occurs twice can repeat
+    place = place[_repeating(data, place, length)].astype(np.int64)
+    if not len(place):
+        return out
+    segment = np.searchsorted(begin, place, side="right") - 1
+    offset = place - begin[segment]
     # of each segment, from its first to its last such window
     cut = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
     kept, low = segment[cut], offset[cut]
-    high = offset[np.r_[cut[1:], len(segment)] - 1] + length
-    long = high - low
+    long = offset[np.r_[cut[1:], len(segment)] - 1] + length - low
     total = np.cumsum(long)
-    source = np.arange(total[-1]) - np.repeat(total - long - begin[kept] - low, long)
-    text = data[source]
-    within = np.searchsorted(kept, segment)
+    text = data[np.arange(total[-1]) - np.repeat(total - long - begin[kept] - low, long)]
+    within = np.repeat(np.arange(len(kept)), np.diff(np.r_[cut, len(segment)]))
     spot = (total - long)[within] + offset - low[within]
     order, eight = two_stage_sort(text, length)
     back = np.full(len(text), -1, dtype=np.int64)
     back[spot] = np.arange(len(spot))
     order = order[back[order] >= 0]
     run = np.flatnonzero(np.r_[True, common_prefixes(order, eight, length)[1:] < length])
-    who = owner[segment[back[order]]]
+    at = back[order]
+    who = owner[segment[at]]
     least = np.repeat(np.minimum.reduceat(who, run), np.diff(np.r_[run, len(who)]))
-    gone = back[order[who > least]]
-    return segment[gone], offset[gone]
+    at = at[who > least]
+    return tuple(np.concatenate(x) for x in zip(out, (segment[at], offset[at], offset[at] + length), strict=True))
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,25 +235,29 @@ def _send(length: int, buckets: int) -> Callable:
     def blobs(docs: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, bytes]]:
         docs.sort(key=lambda d: d[:2])
         first: dict[bytes, int] = {}
-        pieces, sizes, starts, owners, homes = [], [], [], [], []
+        pieces, sizes, starts, homes, owners, done = [], [], [], [], [], bytearray()
         for d, (i, _, text) in enumerate(docs):
             least = window_least(gram_hashes(np.frombuffer(text, np.uint8), k), length - k + 1)
             cut = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-            homes.append(least[cut] % np.uint64(buckets))
-            a, z = cut.tolist(), (np.r_[cut[1:], len(least)] + length - 1).tolist()
-            for x, y in zip(a, z, strict=True):
+            end = np.r_[cut[1:], len(least)] + length - 1
+            homes.append((least[cut] % np.uint64(buckets)).astype(np.int32))
+            starts.append(cut.astype(np.int32))
+            sizes.append((end - cut).astype(np.int32))
+            owners.append(np.full(len(cut), d, np.int32))
+            for x, y in zip(cut.tolist(), end.tolist(), strict=True):
                 piece = text[x:y]
                 # settled here: a smaller id of this batch holds the whole segment
-                done = first.setdefault(piece, i) < i
-                pieces.append(b"" if done else piece)
-                sizes.append(x - y if done else y - x)
-            starts += a
-            owners += [d] * len(a)
+                settled = first.setdefault(piece, i) < i
+                done.append(settled)
+                pieces.append(b"" if settled else piece)
         if not homes:
             return
+        del first
         home = np.concatenate(homes)
         order = np.argsort(home, kind="stable")
-        home, size, start, owner = home[order], np.array(sizes, np.int32)[order], np.array(starts, np.int32)[order], np.array(owners, np.int32)[order]
+        size = np.concatenate(sizes)
+        size = np.where(np.frombuffer(done, bool), -size, size)[order]
+        home, start, owner = home[order], np.concatenate(starts)[order], np.concatenate(owners)[order]
         pack = zstandard.ZstdCompressor(level=LEVEL)
         for some in np.split(np.arange(len(home)), np.flatnonzero(home[1:] != home[:-1]) + 1):
             who, at = np.unique(owner[some], return_inverse=True)
@@ -277,10 +313,10 @@ def _receive(length: int) -> Callable:
         ids, ranks, starts, sizes, data = (np.concatenate(x) for x in (ids, ranks, starts, sizes, data))
         done = sizes < 0
         live = np.flatnonzero(~done)
-        segment, offset = repeated(data, sizes[live].astype(np.int64), ids[live], length)
+        segment, start, end = repeated(data, sizes[live].astype(np.int64), ids[live], length)
         which = np.r_[np.flatnonzero(done), live[segment]]
-        low = np.r_[starts[done], starts[live[segment]] + offset].astype(np.int64)
-        high = np.r_[starts[done] - sizes[done], starts[live[segment]] + offset + length].astype(np.int64)
+        low = np.r_[starts[done], starts[live[segment]] + start].astype(np.int64)
+        high = np.r_[starts[done] - sizes[done], starts[live[segment]] + end].astype(np.int64)
         if not len(which):
             return
         order = np.lexsort((low, ranks[which], ids[which]))
