@@ -4,7 +4,7 @@ Every document gets counts (words, symbols, repeated lines, repeated five-word w
 metrics. Per language and source, a mergeable quantile sketch of each metric is kept: a log-linear histogram whose
 buckets hold integers to seven significant bits, so that two sketches merge by adding counts and a quantile is exact to
 1/64 of its value. A group with few documents merges its sketch with its language's, and a language with few with all
-documents'. Thresholds are quantiles of the sketch plus a multiple of its spread; documents meet them in a join on
+documents'. Thresholds are quartiles of the sketch plus a multiple of their distance from the median; documents meet them in a join on
 language and source. Hot groups cost nothing: the sketches are sums, which Spark adds up before it shuffles.
 
 Defined results: null or empty text has no words and fails the base rules; null language or source is a group of its
@@ -22,13 +22,14 @@ from .common import WHITE, saved
 SYMBOLS = "#*$%&|<>"
 #: Documents of which a group's own sketch is trusted.
 MIN_DOCS = 200
-#: metric: (quantile, middle, times the spread, least margin); a metric fails beyond the threshold on the side named.
+#: metric: (side, times the spread, least margin). A metric fails beyond its quartile on that side, plus so many times the
+#: quartile's distance from the median, plus the margin. Quartiles hold while less than a quarter of a group is junk.
 RULES = {
-    "symbol_pm": ("upper", 0.90, 0.50, 3, 60),
-    "dup_line_pm": ("upper", 0.90, 0.50, 3, 250),
-    "repeat_pm": ("upper", 0.90, 0.50, 3, 80),
-    "word_len": ("upper", 0.90, 0.50, 4, 200),
-    "short_word": ("lower", 0.10, 0.50, 4, 100),
+    "symbol_pm": ("upper", 6, 60),
+    "dup_line_pm": ("upper", 6, 400),
+    "repeat_pm": ("upper", 6, 160),
+    "word_len": ("upper", 6, 350),
+    "short_word": ("lower", 6, 200),
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -109,11 +110,11 @@ def thresholds(sketch: DataFrame, keys: list[str]) -> DataFrame:
     part = W.partitionBy(*keys, "metric")
     up = part.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     run = sketch.select(*keys, "metric", "bucket", F.sum("n").over(up).alias("upto"), F.sum("n").over(part).alias("total"))
-    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * int(q * 100), F.col("bucket")))
-    out = run.groupBy(*keys, "metric").agg(F.first("total").alias("total"), at(0.10).alias("q10"), at(0.50).alias("q50"), at(0.90).alias("q90"))
+    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket")))
+    out = run.groupBy(*keys, "metric").agg(F.first("total").alias("total"), at(25).alias("q25"), at(50).alias("q50"), at(75).alias("q75"))
     value = F.lit(None).cast("long")
-    for m, (side, _, _, times, margin) in RULES.items():
-        v = F.col("q90") + times * (F.col("q90") - F.col("q50")) + margin if side == "upper" else F.col("q10") - times * (F.col("q50") - F.col("q10")) - margin
+    for m, (side, times, margin) in RULES.items():
+        v = F.col("q75") + times * (F.col("q75") - F.col("q50")) + margin if side == "upper" else F.col("q25") - times * (F.col("q50") - F.col("q25")) - margin
         value = F.when(F.col("metric") == m, v).otherwise(value)
     out = out.select(*keys, "metric", "total", value.alias("v"))
     return out.groupBy(*keys).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("metric") == m, F.col("v"))).alias(f"{m}_limit") for m in RULES])

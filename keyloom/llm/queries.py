@@ -102,7 +102,7 @@ def _rules_sql() -> str:
     value = lambda m: "word_len" if m == "short_word" else m
     each = ", ".join(f"{{'metric': '{m}', 'v': {value(m)}}}" for m in RULES)
     limit = " ".join(
-        f"WHEN '{m}' THEN q90 + {times} * (q90 - q50) + {margin}" if side == "upper" else f"WHEN '{m}' THEN q10 - {times} * (q50 - q10) - {margin}" for m, (side, _, _, times, margin) in RULES.items()
+        f"WHEN '{m}' THEN q75 + {times} * (q75 - q50) + {margin}" if side == "upper" else f"WHEN '{m}' THEN q25 - {times} * (q50 - q25) - {margin}" for m, (side, times, margin) in RULES.items()
     )
     tests = " AND ".join(f"coalesce({value(m)} {'<=' if side == 'upper' else '>='} max(v) FILTER (metric = '{m}'), true)" for m, (side, *_) in RULES.items())
     at = lambda q: f"min(bucket) FILTER (upto * 100 >= total * {q}) AS q{q}"
@@ -110,7 +110,7 @@ def _rules_sql() -> str:
     def level(name: str, source: str, keys: str) -> str:
         by = f"{keys}, " if keys else ""
         return f"""{name}_r AS (SELECT {by}metric, bucket, sum(sum(n)) OVER (PARTITION BY {by}metric ORDER BY bucket) AS upto, sum(sum(n)) OVER (PARTITION BY {by}metric) AS total FROM {source} GROUP BY {by}metric, bucket),
-{name} AS (SELECT {by}metric, any_value(total) AS total, {at(10)}, {at(50)}, {at(90)} FROM {name}_r GROUP BY {by}metric)"""
+{name} AS (SELECT {by}metric, any_value(total) AS total, {at(25)}, {at(50)}, {at(75)} FROM {name}_r GROUP BY {by}metric)"""
 
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, row_number() OVER () AS u FROM documents),
@@ -125,8 +125,8 @@ k AS (SELECT lang, source, x.metric AS metric, (x.v >> greatest(length(bin(x.v))
 {level("by_source", "k", "lang, source")},
 {level("by_lang", "k", "lang")},
 {level("by_all", "k", "")},
-q AS (SELECT s.lang, s.source, s.metric, CASE WHEN s.total >= {MIN_DOCS} THEN s.q10 WHEN l.total >= {MIN_DOCS} THEN l.q10 ELSE a.q10 END AS q10,
-  CASE WHEN s.total >= {MIN_DOCS} THEN s.q50 WHEN l.total >= {MIN_DOCS} THEN l.q50 ELSE a.q50 END AS q50, CASE WHEN s.total >= {MIN_DOCS} THEN s.q90 WHEN l.total >= {MIN_DOCS} THEN l.q90 ELSE a.q90 END AS q90
+q AS (SELECT s.lang, s.source, s.metric, CASE WHEN s.total >= {MIN_DOCS} THEN s.q25 WHEN l.total >= {MIN_DOCS} THEN l.q25 ELSE a.q25 END AS q25,
+  CASE WHEN s.total >= {MIN_DOCS} THEN s.q50 WHEN l.total >= {MIN_DOCS} THEN l.q50 ELSE a.q50 END AS q50, CASE WHEN s.total >= {MIN_DOCS} THEN s.q75 WHEN l.total >= {MIN_DOCS} THEN l.q75 ELSE a.q75 END AS q75
   FROM by_source s JOIN by_lang l ON s.lang IS NOT DISTINCT FROM l.lang AND s.metric = l.metric JOIN by_all a ON a.metric = s.metric),
 v AS (SELECT lang, source, metric, CASE metric {limit} END AS v FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {tests} AS kept
