@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, bucket_of, saved
+from .common import LOWER, NO_ID, UPPER, ascii_lower, bucket_of, saved
+from .quality_rules import bucket
 
 END, HEAD = 0xFF, 100_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -156,6 +157,19 @@ def tokens(raw: bytes) -> list[bytes]:
     return raw.translate(_LOWER).split()
 
 
+def frequent(counts: DataFrame, head: int) -> list[tuple[str, int]]:
+    """The tokens with the greatest counts, `head` at most, as far as whole buckets of counts go. The bound is found on sums by
+    bucket, of which there are a few thousand at most, so neither a task nor the driver gets more than the result."""
+    sums = counts.groupBy(bucket(F.col("c")).alias("b")).agg(F.count("*").alias("n")).collect()
+    held, least = 0, NO_ID
+    for b, n in sorted((tuple(r) for r in sums), reverse=True):
+        if held + n > head:
+            break
+        held, least = held + n, b
+    top = counts.filter(F.col("c") >= least).toArrow()
+    return list(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes,
     bits_per_byte (the model's code length, END's included, per byte of the text and END)."""
@@ -171,28 +185,28 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
     whole = total + 1 * (kinds + 1)
-    top = counts.orderBy(F.desc("c"), "w").limit(head).toArrow()
-    table = {w.encode(): math.log10((c + 1) / whole) for w, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)}
+    table = {w.encode(): math.log10((c + 1) / whole) for w, c in frequent(counts, head)}
     shared = spark.sparkContext.broadcast((table, tree.rows, tree.table))
     end_score = math.log10((ends + 1) / whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rows, logs = shared.value
         model = Tree(rows, logs)
-        for b in batches:
-            raw = b.column(2).to_pylist()
-            score = model.score(raw)
-            n, hits, base, rest = [], [], [], []
-            for t in raw:
-                found = [known.get(w, w) for w in tokens(t)]
-                left = [x for x in found if type(x) is bytes]
-                n.append(len(found) + 1)
-                hits.append(len(found) - len(left) + (ends > 0))
-                base.append(sum(x for x in found if type(x) is float) + end_score)
-                rest.append(left)
-            sizes = [len(t) for t in raw]
-            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.binary()))]
-            yield pa.record_batch(cols, names=["doc_id", "held_out", "n_tokens", "n_head", "base_head", "score", "n_bytes", "rest"])
+        for whole_batch in batches:
+            for b in (whole_batch.slice(a, 1000) for a in range(0, whole_batch.num_rows, 1000)):
+                raw = b.column(2).to_pylist()
+                score = model.score(raw)
+                n, hits, base, rest = [], [], [], []
+                for t in raw:
+                    found = [known.get(w, w) for w in tokens(t)]
+                    left = [x for x in found if type(x) is bytes]
+                    n.append(len(found) + 1)
+                    hits.append(len(found) - len(left) + (ends > 0))
+                    base.append(sum([x for x in found if type(x) is float]) + end_score)
+                    rest.append(left)
+                sizes = [len(t) for t in raw]
+                cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.binary()))]
+                yield pa.record_batch(cols, names=["doc_id", "held_out", "n_tokens", "n_head", "base_head", "score", "n_bytes", "rest"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.encode(text, "UTF-8").alias("t"))
     first = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score double, n_bytes long, rest array<binary>")

@@ -41,7 +41,7 @@ from .context_tree import tokens
 
 SPARE, BLOCK, PROBES = 1, 1000, 1000
 #: Words whose hashes a task keeps.
-KEPT = 500_000
+KEPT = 200_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _words: dict[bytes, int] = {}
 

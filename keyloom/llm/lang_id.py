@@ -60,8 +60,8 @@ class Model:
         by_length = np.zeros((LONGEST + 1, len(langs)))
         for g, c in kept.items():
             by_length[len(g)] += c
-        word_rows = np.array([smooth(c, total) for _, c in known]).reshape(-1, len(langs))
-        gram_rows = np.array([smooth(c, by_length[len(g)]) for g, c in kept.items()]).reshape(-1, len(langs))
+        word_rows = np.array([smooth(c, total) for _, c in known]).reshape(len(known), len(langs))
+        gram_rows = np.array([smooth(c, by_length[len(g)]) for g, c in kept.items()]).reshape(len(kept), len(langs))
         # only differences between languages matter
         center = lambda m: (m - m.mean(axis=1, keepdims=True)).astype(np.float32) if len(m) else m.astype(np.float32)
         return cls(langs, {w: i for i, (w, _) in enumerate(known)}, center(word_rows), {g: i for i, g in enumerate(kept)}, center(gram_rows))
@@ -107,7 +107,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: in
     """Learn from rows whose remainder isn't 2, per_lang of each language at most (ties of the hash by text)."""
     train = docs.filter((bucket_of(id_col, 4) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     train = train.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
-    # the rank limit is applied in each task before rows are dealt, so that no task gets more than per_lang from another
+    # a language's rows are thinned by their hash before they are ranked: twice as many as wanted pass, so one task gets few
+    many = train.groupBy("l").agg(F.count("*").alias("n")).withColumnRenamed("l", "k")
+    share = F.lit(2.0 * per_lang + 200) / F.col("n")
+    train = train.join(many, F.col("l") == F.col("k")).filter((F.col("h") / 2.0**64 + 0.5) < share).select("l", "t", "h")
     few = train.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).filter(F.col("r") <= per_lang)
     word = F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
     found = few.select("l", word.alias("w")).groupBy("l", "w").agg(F.count("*").alias("n")).toArrow()
