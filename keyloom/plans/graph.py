@@ -39,6 +39,17 @@ class Graph:
         self.every = [Edge(f.parent, t, tuple(f.columns.items()), f.primary) for t in catalog.tables() for f in catalog.definition(t).foreign_keys]
         self.tables = set(catalog.tables() if tables is None else tables)
 
+    @classmethod
+    def from_sequence(cls, graphs: Iterable[Graph]) -> Graph:
+        """The union of several graphs."""
+        found = list(graphs)
+        if not found:
+            raise KeyloomError("a graph needs at least one")
+        out = found[0]
+        for g in found[1:]:
+            out = out + g
+        return out
+
     def _with(self, tables: Iterable[str]) -> Graph:
         return Graph(self.catalog, tables)
 
@@ -199,7 +210,12 @@ class Graph:
                 found[t] = self.catalog.relation(t).restrict([self._up(e, found[e.child]) for e in edges], semantic_check=False)
         return Restricted(self, found)
 
-    def mermaid(self) -> str:
+    def mermaid(self, collapse: bool = False) -> str:
+        """The graph as text for a flowchart; with collapse, a node for each namespace."""
+        if collapse:
+            spaces = list(dict.fromkeys(t.split(".")[0] for t in self.topological()))
+            links = dict.fromkeys((e.parent.split(".")[0], e.child.split(".")[0]) for e in self.edges)
+            return "\n".join(["flowchart TB", *(f"  {n}[{n}]" for n in spaces), *(f"  {a} --> {b}" for a, b in links if a != b)])
         names = {t: f"n{k}" for k, t in enumerate(self.topological())}
         shapes = {"manual": "[{}]", "lookup": "[/{}/]", "imported": "({})", "computed": "(({}))", "part": "[[{}]]", "job": "[{}]"}
         lines = [f"  {names[t]}{shapes[self.catalog.tier(t)].format(t)}" for t in names]
