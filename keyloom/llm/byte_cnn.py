@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of
+from .common import bucket_of, small_batches
 
 SAMPLE, SAMPLE_BYTES = 3000, 12_000_000
 CHUNK, STEP, WIDTH, STRIDE, DIM, FILTERS, PAD = 512, 480, 8, 4, 8, 32, 256
-EPOCHS, BATCH, RATE = 5, 32, 0.004
+EPOCHS, BATCH, RATE = 12, 32, 0.008
 SPOTS = (CHUNK - WIDTH) // STRIDE + 1
 
 
@@ -143,6 +143,6 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             score = Net(weights).score([x.as_py() for x in b.column(2)]) if weights else np.full(b.num_rows, 0.5)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(score, pa.float64())], names=["doc_id", "held_out", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (bucket_of(id_col, 4) == 2).alias("held_out"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), (bucket_of(id_col, 4) == 2).alias("held_out"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
     out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
