@@ -80,6 +80,12 @@ def test_suffix_dedup_small_buckets(docs, rows, monkeypatch):
     assert multiset(dicts(digest(remove_repeats(docs, length=20)))) == multiset(brute_repeats(rows, 20))
 
 
+def test_suffix_dedup_crowded_buckets(docs, rows, monkeypatch):
+    """All buckets crowded: every window is dealt by its own hash."""
+    monkeypatch.setattr("keyloom.llm.suffix_dedup.CROWDED", 0)
+    assert multiset(dicts(digest(remove_repeats(docs)))) == multiset(brute_repeats(rows))
+
+
 def test_suffix_dedup_one_id_with_several_texts(spark):
     a, b = "x" * 30 + "abc" * 20, "abc" * 20 + "tail"
     rows = [(5, a), (5, b), (7, b), (3, "none"), (5, a)]
