@@ -29,6 +29,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let Spark hand rows to Python in batches of 1,000 unless the session says otherwise: whole texts in batches of the default
+    10,000 take tens of megabytes several times over, in Arrow's buffers of the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "1000")
+    return df
+
+
 def number(column: str | Column) -> Column:
     """A document id as long, nulls last."""
     column = F.col(column) if isinstance(column, str) else column

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NO_ID, UPPER, ascii_lower, bucket_of, saved
+from .common import LOWER, NO_ID, UPPER, ascii_lower, bucket_of, saved, small_batches
 from .quality_rules import bucket
 
 END, HEAD = 0xFF, 100_000
@@ -176,7 +176,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = bucket_of(id_col, 7) == 2
-    train = docs.filter(~held).select(text.alias("t"))
+    train = small_batches(docs).filter(~held).select(text.alias("t"))
     word = F.explode(F.split(ascii_lower(F.col("t")), r"[\x20\x09-\x0D]+")).alias("w")
     counts = saved(train.select(word).filter("w != ''").groupBy("w").agg(F.count("*").alias("c")))
     triples = train.select(F.encode("t", "UTF-8").alias("t")).mapInArrow(count_triples, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()

@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import number, original, saved
+from .common import number, original, saved, small_batches
 from .components import connected
 from .context_tree import tokens
 
 SPARE, BLOCK, PROBES = 1, 1000, 1000
 #: Words whose hashes a task keeps.
-KEPT = 200_000
+KEPT = 100_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _words: dict[bytes, int] = {}
 
@@ -239,6 +239,7 @@ def _describe(width: int, measure: Measure, signed: bool) -> Callable:
                 if len(seen) < KEPT:  # copies within a task needn't sign again
                     seen.update(marks)
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["id", "mark", "signs"])
+        _words.clear()  # the process goes on to other tasks
 
     return run
 
@@ -287,7 +288,7 @@ def _linked(width: int, measure: Measure) -> Callable:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, per: int = 90, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     measure = Measure(per)
-    rows = docs.select(number(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
+    rows = small_batches(docs).select(number(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
     sized = saved(rows.mapInArrow(_describe(width, measure, False), "id long, n long, mark binary"))
     # one node for each set: the smallest id
     nodes = saved(sized.filter("n > 0").groupBy("mark").agg(F.min("id").alias("node")))

@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .pieces import SPACE, default_path, pretokens, vocabulary
 from .token_counts import slices
 
-PENALTY, KEPT, BATCH = 10.0, 500_000, 50_000
+PENALTY, KEPT, BATCH = 10.0, 250_000, 30_000
 #: Pre-tokens of more characters aren't kept in a task's table.
 LONG = 64
 
@@ -307,7 +308,7 @@ def encode_nbest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.record_batch(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).mapInArrow(run, SCHEMA)
 
 
 def decode_ids(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:

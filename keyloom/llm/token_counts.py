@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .pieces import SPACE, default_path, pretokens, vocabulary
 
 #: Characters of the longest pre-token merged in arrays; pre-tokens kept in a task's table; words merged at once.
@@ -172,5 +173,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), F.octet_length(text).cast("long").alias("n_bytes"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), F.octet_length(text).cast("long").alias("n_bytes"))
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
