@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bucket_of
+from .common import bucket_of, saved, small_batches
 
 #: Documents of each language that the model is fitted on; least count of a known word; longest n-gram.
 PER_LANG, MIN_COUNT, LONGEST, EVIDENCE = 1500, 2, 5, 20
+#: Languages up to which their counts are broadcast.
+LANGUAGES = 10_000
 #: Words outside the model whose scores a task keeps.
 KEPT = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -108,7 +110,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: in
     train = docs.filter((bucket_of(id_col, 4) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     train = train.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
     # a language's rows are thinned by their hash before they are ranked: twice as many as wanted pass, so one task gets few
-    many = train.groupBy("l").agg(F.count("*").alias("n")).withColumnRenamed("l", "k")
+    many = saved(train.groupBy("l").agg(F.count("*").alias("n")).withColumnRenamed("l", "k"))
+    many = F.broadcast(many) if many.count() <= LANGUAGES else many  # else Spark deals both sides, and splits skewed languages
     share = F.lit(2.0 * per_lang + 200) / F.col("n")
     train = train.join(many, F.col("l") == F.col("k")).filter((F.col("h") / 2.0**64 + 0.5) < share).select("l", "t", "h")
     few = train.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).filter(F.col("r") <= per_lang)
@@ -141,5 +144,5 @@ def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = [m.predict(t) for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (bucket_of(id_col, 4) == 2).alias("held_out"), F.col(text_col).alias("t"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), (bucket_of(id_col, 4) == 2).alias("held_out"), F.col(text_col).alias("t"))
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
