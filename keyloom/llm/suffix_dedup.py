@@ -10,6 +10,10 @@ twice are put together and their suffixes sorted by the two-stage method: suffix
 are induced by one scan over the buckets of first bytes. Common prefixes of neighbours in the array are then computed, and runs
 of `length` or more bytes in common give each string's smallest document.
 
+A minimizer that many different neighbourhoods share would make its bucket large. So buckets are measured first; of one
+that would hold more than CROWDED times BUCKET, every window is a segment of its own and goes to one of many buckets by its own
+hash. Equal windows still meet, and no bucket grows with a common k-gram.
+
 A text's exact copies are settled before: only the smallest id of equal texts sends segments, the others lose all windows.
 A segment that several documents of one batch hold is sent once, for the smallest id; for the others it is settled there. So
 neither copies nor a passage that many documents share heap up in a bucket; each batch adds one segment at most. Segments
@@ -30,9 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import number, original, saved
+from .common import number, original, saved, small_batches
 
 LENGTH, BUCKET, BATCH, LEVEL = 50, 6_000_000, 6_000_000, 5
+#: Times BUCKET that a bucket may hold before its windows are dealt once more.
+CROWDED = 2
+#: Segments that a task holds before it sends them.
+PIECES = 400_000
 _MULS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
 
@@ -83,12 +91,13 @@ def two_stage_sort(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     eight = wide[:-4] << np.uint64(32) | wide[4:]
     # which suffixes are smaller than their successors: the next unequal byte is greater
     step = np.sign(np.diff(text.astype(np.int16), append=-1)).astype(np.int8)
-    change = np.where(step != 0, np.arange(n), n)
+    change = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n - 1))
     smaller = step[np.minimum.accumulate(change[::-1])[::-1]] > 0
+    del step, change
     # first stage: sort these directly
-    place = np.flatnonzero(smaller)
+    place = np.flatnonzero(smaller).astype(np.int32)
     place = place[np.argsort(eight[place])]
-    group = np.cumsum(np.r_[False, eight[place][1:] != eight[place][:-1]]) if len(place) else place
+    group = np.cumsum(np.r_[False, eight[place][1:] != eight[place][:-1]], dtype=np.int32) if len(place) else place
     for done in range(8, depth, 8):
         tied = np.zeros(len(place), dtype=bool)
         tied[1:] = group[1:] == group[:-1]
@@ -104,16 +113,16 @@ def two_stage_sort(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
         new = np.ones(len(place), dtype=bool)
         new[1:] = group[1:] != group[:-1]
         new[at[1:]] |= key[1:] != key[:-1]
-        group = np.cumsum(new)
+        group = np.cumsum(new, dtype=np.int32)
     first = text[place]
     ends = np.searchsorted(first, np.arange(257))
     # second stage: in the order of the array, the suffix before a sorted one takes the next place in its own bucket
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[n - 1]].append(np.array([n - 1]))
+    waiting[text[n - 1]].append(np.array([n - 1], np.int32))
     out: list[np.ndarray] = []
     for c in range(256):
         part = waiting[c]
-        wave = np.concatenate(part) if part else np.zeros(0, np.int64)
+        wave = np.concatenate(part) if part else np.zeros(0, np.int32)
         while len(wave):  # runs of c
             wave = wave[wave > 0] - 1
             wave = wave[text[wave] == c]
@@ -208,8 +217,8 @@ def repeated(data: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int
     within = np.repeat(np.arange(len(kept)), np.diff(np.r_[cut, len(segment)]))
     spot = (total - long)[within] + offset - low[within]
     order, eight = two_stage_sort(text, length)
-    back = np.full(len(text), -1, dtype=np.int64)
-    back[spot] = np.arange(len(spot))
+    back = np.full(len(text), -1, dtype=np.int32)
+    back[spot] = np.arange(len(spot), dtype=np.int32)
     order = order[back[order] >= 0]
     run = np.flatnonzero(np.r_[True, common_prefixes(order, eight, length)[1:] < length])
     at = back[order]
@@ -228,19 +237,81 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[cut], end[np.r_[cut[1:], len(end)] - 1]
 
 
-def _send(length: int, buckets: int) -> Callable:
-    """Documents (id, h, rank, z) to blobs of segments by bucket. Rank 0: a copy, which sends none."""
+def segments(text: bytes, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A text's segments: minimizer, bucket, start and end of each."""
     k = max(1, length // 4)
+    least = window_least(gram_hashes(np.frombuffer(text, np.uint8), k), length - k + 1)
+    cut = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    return least[cut], (least[cut] % np.uint64(buckets)).astype(np.int64), cut, np.r_[cut[1:], len(least)] + length - 1
+
+
+def _documents(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Documents (id, rank, text) in batches of about BATCH bytes, without copies (rank 0) and short texts."""
+    unpack = zstandard.ZstdDecompressor()
+    held, size = [], 0
+    for b in batches:
+        for i, rank, z in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if rank and len(text := unpack.decompress(z)) >= length:
+                held.append((i, rank, text))
+                size += len(text)
+                if size >= BATCH:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def _sizes(length: int, buckets: int) -> Callable:
+    """Bytes that each bucket gets at most, segments that a batch holds several times counted once. Copies are still in, so this
+    needs no join; a bucket that only they fill is dealt once more for nothing, which costs time but changes no result."""
+    factors = np.random.default_rng(5).integers(1, 1 << 62, length).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def measured(texts: list[bytes]) -> pa.RecordBatch:
+        parts = []
+        for text in texts:
+            least, home, start, end = segments(text, length, buckets)
+            head = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), length)[start]
+            parts.append((least ^ (head * factors).sum(axis=1), home, end - start))
+        name, home, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        once = np.unique(name, return_index=True)[1]
+        found, at = np.unique(home[once], return_inverse=True)
+        return pa.record_batch([pa.array(found), pa.array(np.bincount(at, size[once]).astype(np.int64))], names=["bucket", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                if len(text) >= length:
+                    held.append(text)
+                    size += len(text)
+                    if size >= BATCH:
+                        yield measured(held)
+                        held, size = [], 0
+        if held:
+            yield measured(held)
+
+    return run
+
+
+def _send(length: int, buckets: int, wide: dict[int, tuple[int, int]]) -> Callable:
+    """Documents (id, h, rank, z) to blobs of segments by bucket. Rank 0: a copy, which sends none. wide: of buckets that would
+    grow too large, the first and the number of those that take its windows one by one, by the windows' own hash."""
+    crowded = np.array(sorted(wide), np.int64)
 
     def blobs(docs: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, bytes]]:
         docs.sort(key=lambda d: d[:2])
         first: dict[bytes, int] = {}
         pieces, sizes, starts, homes, owners, done = [], [], [], [], [], bytearray()
         for d, (i, _, text) in enumerate(docs):
-            least = window_least(gram_hashes(np.frombuffer(text, np.uint8), k), length - k + 1)
-            cut = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-            end = np.r_[cut[1:], len(least)] + length - 1
-            homes.append((least[cut] % np.uint64(buckets)).astype(np.int32))
+            _, home, cut, end = segments(text, length, buckets)
+            if len(crowded) and (apart := np.isin(home, crowded)).any():
+                own = gram_hashes(np.frombuffer(text, np.uint8), length)
+                at = np.concatenate([np.arange(x, y - length + 1) for x, y in zip(cut[apart].tolist(), end[apart].tolist(), strict=True)])
+                base, many = np.array([wide[b] for b in home[apart].tolist()]).T
+                n = end[apart] - cut[apart] - length + 1
+                to = np.repeat(base, n) + (own[at] % np.repeat(many, n).astype(np.uint64)).astype(np.int64)
+                home, cut, end = np.r_[home[~apart], to], np.r_[cut[~apart], at], np.r_[end[~apart], at + length]
+            homes.append(home)
             starts.append(cut.astype(np.int32))
             sizes.append((end - cut).astype(np.int32))
             owners.append(np.full(len(cut), d, np.int32))
@@ -250,9 +321,15 @@ def _send(length: int, buckets: int) -> Callable:
                 settled = first.setdefault(piece, i) < i
                 done.append(settled)
                 pieces.append(b"" if settled else piece)
-        if not homes:
-            return
-        del first
+            if len(pieces) > PIECES:
+                yield from packed(docs, pieces, sizes, starts, homes, owners, done)
+                first.clear()
+                pieces, sizes, starts, homes, owners, done = [], [], [], [], [], bytearray()
+        if homes:
+            first.clear()
+            yield from packed(docs, pieces, sizes, starts, homes, owners, done)
+
+    def packed(docs: list[tuple[int, int, bytes]], pieces: list[bytes], sizes: list, starts: list, homes: list, owners: list, done: bytearray) -> Iterator[tuple[int, bytes]]:
         home = np.concatenate(homes)
         order = np.argsort(home, kind="stable")
         size = np.concatenate(sizes)
@@ -269,23 +346,9 @@ def _send(length: int, buckets: int) -> Callable:
             yield int(home[some[0]]), pack.compress(body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            found = list(blobs(held))
-            return pa.record_batch([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "blob"])
-
-        for b in batches:
-            for i, rank, z in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if rank and len(text := unpack.decompress(z)) >= length:
-                    held.append((i, rank, text))
-                    size += len(text)
-                    if size >= BATCH:
-                        yield out()
-                        held, size = [], 0
-        if held:
-            yield out()
+        for docs in _documents(batches, length):
+            found = list(blobs(docs))
+            yield pa.record_batch([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "blob"])
 
     return run
 
@@ -401,7 +464,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (maximal removed runs of bytes: start, end) and kept (the other bytes)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(number(id_col).alias("id"), text.alias("t"))
+    rows = small_batches(docs).select(number(id_col).alias("id"), text.alias("t"))
     sha = F.sha2("t", 256)
     # of equal texts the smallest id; by id, the hashes of such texts: one, unless an id has several texts
     first = rows.select("id", sha.alias("sha"), F.octet_length("t").alias("n")).groupBy("sha").agg(F.min("id").alias("own"), F.max("n").alias("n"))
@@ -413,7 +476,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # this join deals the texts by id, once: Spark reuses that exchange for the join at the end
     ranked = packed.join(heads.hint("merge"), F.col("id") == F.col("own"), "left")
     ranked = ranked.select("id", "h", F.coalesce(F.array_position("hs", F.col("h")), F.lit(0)).cast("int").alias("rank"), "z")
-    blobs = ranked.mapInArrow(_send(length, buckets), "bucket int, blob binary")
+    # minimizers that many different neighbourhoods share: their buckets' windows are dealt once more, by their own hash
+    sizes = rows.select(F.encode("t", "UTF-8").alias("t")).mapInArrow(_sizes(length, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    wide, next_ = {}, buckets
+    for b, n in sorted(tuple(r) for r in sizes.filter(F.col("n") > CROWDED * BUCKET).collect()):
+        wide[b] = (next_, length * n // BUCKET + 1)
+        next_ += wide[b][1]
+    blobs = ranked.mapInArrow(_send(length, buckets, wide), "bucket long, blob binary")
     spans = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_receive(length), "id long, rank int, spans array<int>")
     spans = spans.select(F.col("id").alias("of"), F.struct("rank", "spans").alias("f")).groupBy("of").agg(F.collect_list("f").alias("found"))
     met = ranked.join(spans.hint("merge"), F.col("id") == F.col("of"), "left").select("id", "h", "rank", "z", "found")

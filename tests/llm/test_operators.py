@@ -214,6 +214,12 @@ def test_exact_dedup(docs, rows):
     assert len(left) == len(count) and {WHITE.sub(" ", r["text"] or "") for r in left} == set(count)
 
 
+def test_exact_dedup_spreads_hot_digests(docs, monkeypatch):
+    expected = multiset(dicts(exact_dedup(docs)))
+    monkeypatch.setattr("keyloom.llm.exact_dedup.HOT", 1)
+    assert multiset(dicts(exact_dedup(docs))) == expected
+
+
 def test_verification_parts_colliding_digests(docs):
     true, weak = dicts(exact_dedup(docs)), dicts(exact_dedup(docs, digest_bits=8))
     group = {(r["doc_id"], r["text_sha256"]): r["keep_id"] for r in true}
