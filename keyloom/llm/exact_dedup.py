@@ -3,8 +3,8 @@
 Each task feeds (digest, id) entries into a memtable; a full memtable is flushed as a sorted run with a Bloom
 filter, and runs are compacted into one, which keeps the smallest id and adds up the counts. What a task emits is
 therefore pre-aggregated: a text held by a third of all rows leaves each task as one entry. The entries are dealt by
-digest, and each shard compacts its share the same way. Documents then meet the index in a join on the digest, in
-which Spark splits hot digests, and every hit is verified by comparing bytes with the row that stays.
+digest, and each shard compacts its share the same way. Documents then meet the index in a join on the digest; those of a digest
+with more than a thousandth of all rows are spread by salts. Every hit is verified by comparing bytes with the row that stays.
 
 Defined results: a null text counts as empty; a null id sorts after every other id; of repeated rows with one id and
 one text exactly one is kept; an empty table gives an empty result; other columns are ignored.
@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WHITE, number, original
+from .common import WHITE, number, original, saved
 
 #: Entries that a memtable holds before it is flushed, and runs that are left side by side before they are compacted.
 MEMTABLE, FANOUT = 1 << 17, 8
+#: Rows of one text up to which they aren't spread.
+HOT = 1000
 
 
 class Bloom:
@@ -133,14 +135,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("digest", key)
     entries = rows.select("digest", "id", F.lit(1).cast("long").alias("n"))
     schema = "digest binary, keep long, n long"
-    index = entries.mapInArrow(_indexed, schema).repartition("digest").mapInArrow(_indexed, schema)
-    index = index.withColumnRenamed("digest", "key")
-    found = rows.join(index, F.col("digest") == F.col("key")).drop("key")
-    # only groups of two or more need bytes
-    stay = found.filter((F.col("n") > 1) & (F.col("id") == F.col("keep"))).select(F.col("digest").alias("key"), F.col("t").alias("kept_t"), F.col("sha").alias("kept_sha"))
-    # (digest, sha) is kept apart from the rows themselves: repeated rows of the id that stays must not multiply hits
-    stay = stay.groupBy("key").agg(F.min_by("kept_t", "kept_sha").alias("kept_t"))
-    hits = found.join(stay, (F.col("digest") == F.col("key")) & (F.col("n") > 1), "left")
+    index = saved(entries.mapInArrow(_indexed, schema).repartition("digest").mapInArrow(_indexed, schema).withColumnRenamed("digest", "key"))
+    # digests of more than a thousandth of all rows, of which there are less than a thousand, spread over several salts
+    share = max(HOT, (index.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 0) // 1000)
+    salts = F.ceil(F.col("n") / share).cast("int")
+    hot = index.filter(F.col("n") > share).select(F.col("key").alias("hot"), salts.alias("salts"))
+    rows = rows.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left")
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0)).cast("int")).drop("hot")
+    spread = index.withColumn("of", F.explode(F.sequence(F.lit(0), salts - 1)))
+    found = rows.join(spread, (F.col("digest") == F.col("key")) & (F.col("salt") == F.col("of"))).drop("key", "of")
+    # only groups of two or more need bytes; the row that stays goes to every salt of its digest. Repeated rows of its id are one
+    stay = found.filter((F.col("n") > 1) & (F.col("id") == F.col("keep")))
+    stay = stay.select(F.col("digest").alias("key"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("of"), F.col("t").alias("kept_t"), F.col("sha").alias("kept_sha"))
+    stay = stay.groupBy("key", "of").agg(F.min_by("kept_t", "kept_sha").alias("kept_t"))
+    hits = found.join(stay, (F.col("digest") == F.col("key")) & (F.col("salt") == F.col("of")) & (F.col("n") > 1), "left")
     same = (F.col("n") == 1) | F.col("t").eqNullSafe(F.col("kept_t"))
     hits = hits.select("id", "sha", F.when(same, F.col("keep")).otherwise(F.col("id")).alias("keep"), F.when(same, F.col("n")).otherwise(F.lit(1).cast("long")).alias("n"))
     turn = F.row_number().over(W.partitionBy("id", "sha").orderBy("keep"))
