@@ -299,7 +299,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = W.partitionBy("sign")
     families = signs.select("node", F.min("node").over(same).alias("lead")).filter("node != lead").distinct()
     families = saved(families)
-    sizes = families.groupBy("lead").agg(F.count("*").alias("size"))
+    # saved, so that the join below is one of two plain exchanges, of which Spark splits a family's that is too large
+    sizes = saved(families.groupBy("lead").agg(F.count("*").alias("size")))
     blocks = families.join(sizes, "lead").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     blocks = saved(blocks.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     centres = blocks.select("lead", "block", F.col("lead").alias("node")).distinct()
