@@ -6,8 +6,8 @@ decisions so far) has the zeros and ones that followed it in the training texts,
 probabilities are weighted against the product of the children's, half each, from the deepest nodes to the root, and the
 posterior weights mix the estimates of all depths in each prediction. Scores are proper: those of all texts sum to one.
 
-The counts of byte triples cover all training texts. Tables have a row of 256 for each context of two bytes at most, and one
-for each context of one byte to which an unseen byte came before, so 67 MB bound what is broadcast, whatever the corpus.
+Counts cover all training texts and stay distributed: context_shards deals the grams of DEPTH bytes and one to shards by their
+last bytes, where they meet those of the documents. The model's tables grow with the training texts.
 
 Base scores count every token of all training texts. The HEAD most frequent tokens go to the tasks as a table; every other
 token of a document meets its count in a join on the token. Both ways give the same figures.
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, NO_ID, UPPER, ascii_lower, bucket_of, saved, small_batches
+from .context_shards import DEPTH, _sum_by, model, scored
 from .quality_rules import bucket
 
 END, HEAD = 0xFF, 100_000
@@ -67,13 +68,6 @@ def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
-def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(counts, first)
-
-
 def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
     for b in batches:
@@ -103,8 +97,24 @@ def block(n: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - math.log(math.pi) - log_gamma(a + b + 1)
 
 
+#: log_gamma(k + 0.5) and log_gamma(k + 1) for small k.
+SMALL = 4096
+_HALF, _WHOLE = log_gamma(np.arange(SMALL) + 0.5), log_gamma(np.arange(SMALL) + 1.0)
+
+
+def block_of_counts(n: np.ndarray) -> np.ndarray:
+    """block() of whole numbers, most of them small."""
+    total = n.sum(-1)
+    small = total < SMALL
+    at = np.where(small[..., None], n, 0).astype(np.int64)
+    out = _HALF[at[..., 0]] + _HALF[at[..., 1]] - math.log(math.pi) - _WHOLE[at.sum(-1)]
+    if not small.all():
+        out[~small] = block(n[~small])
+    return out
+
+
 class Tree:
-    """Predictions of the weighted tree for every context seen."""
+    """Predictions of the weighted tree over two bytes of context, held in one process; the tests hold it against recursion."""
 
     def __init__(self, rows: np.ndarray, table: np.ndarray):
         self.rows, self.table = rows, table  # context of two bytes -> row; row -> log10 probability of each byte
@@ -170,7 +180,7 @@ def frequent(counts: DataFrame, head: int) -> list[tuple[str, int]]:
     return list(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes,
     bits_per_byte (the model's code length, END's included, per byte of the text and END)."""
     spark = docs.sparkSession
@@ -179,37 +189,31 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     train = small_batches(docs).filter(~held).select(text.alias("t"))
     word = F.explode(F.split(ascii_lower(F.col("t")), r"[\x20\x09-\x0D]+")).alias("w")
     counts = saved(train.select(word).filter("w != ''").groupBy("w").agg(F.count("*").alias("c")))
-    triples = train.select(F.encode("t", "UTF-8").alias("t")).mapInArrow(count_triples, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    tree = Tree.build(triples.column(0).to_numpy(), triples.column(1).to_numpy())
-    ends = int(triples.column(1).to_numpy()[(triples.column(0).to_numpy() & 255) == END].sum())  # one for each training text
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.encode(text, "UTF-8").alias("t"))
+    asked, ends = model(rows, block_of_counts, saved, depth)  # one end for each training text
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
     whole = total + 1 * (kinds + 1)
     table = {w.encode(): math.log10((c + 1) / whole) for w, c in frequent(counts, head)}
-    shared = spark.sparkContext.broadcast((table, tree.rows, tree.table))
+    shared = spark.sparkContext.broadcast(table)
     end_score = math.log10((ends + 1) / whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rows, logs = shared.value
-        model = Tree(rows, logs)
-        for whole_batch in batches:
-            for b in (whole_batch.slice(a, 1000) for a in range(0, whole_batch.num_rows, 1000)):
-                raw = b.column(2).to_pylist()
-                score = model.score(raw)
-                n, hits, base, rest = [], [], [], []
-                for t in raw:
-                    found = [known.get(w, w) for w in tokens(t)]
-                    left = [x for x in found if type(x) is bytes]
-                    n.append(len(found) + 1)
-                    hits.append(len(found) - len(left) + (ends > 0))
-                    base.append(sum([x for x in found if type(x) is float]) + end_score)
-                    rest.append(left)
-                sizes = [len(t) for t in raw]
-                cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.binary()))]
-                yield pa.record_batch(cols, names=["doc_id", "held_out", "n_tokens", "n_head", "base_head", "score", "n_bytes", "rest"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.encode(text, "UTF-8").alias("t"))
-    first = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score double, n_bytes long, rest array<binary>")
+        known = shared.value
+        for ids, marks, raw, score in scored(batches, depth):
+            n, hits, base, rest = [], [], [], []
+            for t in raw:
+                found = [known.get(w, w) for w in tokens(t)]
+                left = [x for x in found if type(x) is bytes]
+                n.append(len(found) + 1)
+                hits.append(len(found) - len(left) + (ends > 0))
+                base.append(sum([x for x in found if type(x) is float]) + end_score)
+                rest.append(left)
+            sizes = [len(t) for t in raw]
+            cols = [pa.array(ids, pa.int64()), pa.array(marks, pa.bool_()), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.binary()))]
+            yield pa.record_batch(cols, names=["doc_id", "held_out", "n_tokens", "n_head", "base_head", "score", "n_bytes", "rest"])
+
+    first = asked.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score double, n_bytes long, rest array<binary>")
     first = saved(first.withColumn("uid", F.monotonically_increasing_id()))
     rest = first.select("uid", F.explode("rest").alias("x")).select("uid", F.col("x").cast("string").alias("x"))
     c = F.coalesce("c", F.lit(0))
