@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages, each of which works on all that its predecessor kept.
 
 quality rules: documents that the rules reject go. exact dedup: of equal texts the smallest id stays. n-gram Jaccard join: of
-each component of near copies the smallest id stays. mixing: rows in training order, each as often as its source's target
+each component of near copies (shingles of NEAR_WIDTH words, similarity of NEAR_PER / 100 or more) the smallest id stays. mixing: rows in training order, each as often as its source's target
 takes it (an id may then stand in several rows, or in none where a source exceeds its target). pieces: every row's best
 segmentation and the scores of the n best; its columns are those of encode_nbest().
 """
@@ -17,6 +17,9 @@ from keyloom.llm.mixing import mixed_rows
 from keyloom.llm.quality_rules import passing
 from keyloom.llm.sp_nbest import encode_nbest
 
+#: Near copies of the pipeline. op10_jaccard_trie has figures of its own, which its SQL names.
+NEAR_WIDTH, NEAR_PER = 5, 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return passing(docs)
@@ -27,7 +30,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_near_copies(docs)
+    return without_near_copies(docs, width=NEAR_WIDTH, per=NEAR_PER)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
