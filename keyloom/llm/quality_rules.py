@@ -1,11 +1,17 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Every document gets counts (words, symbols, repeated lines, repeated five-word windows) and from them four integer
-metrics. Per language and source, a mergeable quantile sketch of each metric is kept: a log-linear histogram whose
-buckets hold integers to seven significant bits, so that two sketches merge by adding counts and a quantile is exact to
-1/64 of its value. A group with few documents merges its sketch with its language's, and a language with few with all
-documents'. Thresholds are quartiles of the sketch plus a multiple of their distance from the median; documents meet them in a join on
-language and source. Hot groups cost nothing: the sketches are sums, which Spark adds up before it shuffles.
+Every document gets counts (words, symbols, repeated lines, repeated five-word windows) and from them integer metrics:
+rates per thousand of what exceeds chance, which is c less 2 sqrt(c) of a count c, so that one stray symbol in a short text
+is no rate yet; and the mean length of words. Per language and source, a mergeable quantile sketch of each metric is kept: a
+log-linear histogram whose buckets hold integers to seven significant bits, so that two sketches merge by adding counts and a
+quantile is exact to 1/64 of its value.
+
+A group's limit is one of its quantiles plus a multiple of that quantile's distance from the group's median. Nothing is added
+to it: where four fifths of a group have no symbols, the limit is none beyond chance, and where they have many, it is high. As few
+documents tell little of a group, its limit is averaged with its language's, which counts for MIN_DOCS documents, and
+the language's with that of all documents; so the weight of the own sketch grows smoothly with the group. The length of words isn't
+shared between languages. Documents meet the limits in a join on language and source. Hot groups cost nothing: the sketches are
+sums, which Spark adds up before it shuffles.
 
 Defined results: null or empty text has no words and fails the base rules; null language or source is a group of its
 own; every row is judged by itself, so repeated rows get equal verdicts; an empty table gives an empty result.
@@ -20,16 +26,17 @@ from pyspark.sql import Window as W
 from .common import WHITE, saved
 
 SYMBOLS = "#*$%&|<>"
-#: Documents of which a group's own sketch is trusted.
-MIN_DOCS = 200
-#: metric: (side, times the spread, least margin). A metric fails beyond its quartile on that side, plus so many times the
-#: quartile's distance from the median, plus the margin. Quartiles hold while less than a quarter of a group is junk.
+#: Documents for which the limit of a group's language, and of all documents, counts beside the group's own.
+MIN_DOCS = 100
+#: metric: (side, quantile in hundredths, times, shared). A metric fails beyond the quantile plus so many times its distance from the
+#: median. Shared: between languages. Symbols, which junk has and other text doesn't, take a quantile that holds while less than a
+#: fifth of a group is junk; the others, of which every text has some now and then, take their tail.
 RULES = {
-    "symbol_pm": ("upper", 6, 60),
-    "dup_line_pm": ("upper", 6, 400),
-    "repeat_pm": ("upper", 6, 160),
-    "word_len": ("upper", 6, 350),
-    "short_word": ("lower", 6, 200),
+    "symbol_pm": ("upper", 80, 3, True),
+    "dup_line_pm": ("upper", 99, 1, True),
+    "repeat_pm": ("upper", 99, 1, True),
+    "word_len": ("upper", 80, 6, False),
+    "short_word": ("lower", 20, 6, False),
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -80,10 +87,11 @@ def _metrics() -> dict[str, Column]:
     n, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     whole = lambda a, b: F.floor(a / b).cast("long")
     length = whole(100 * F.col("word_chars"), n)
+    beyond = lambda c: F.greatest(F.col(c) - F.floor(2 * F.sqrt(c)), F.lit(0))
     return {
-        "symbol_pm": whole(1000 * F.col("n_symbols"), n),
-        "dup_line_pm": whole(1000 * F.col("n_dup_lines"), lines),
-        "repeat_pm": whole(1000 * F.col("n_repeat_words"), n),
+        "symbol_pm": whole(1000 * beyond("n_symbols"), n),
+        "dup_line_pm": whole(1000 * beyond("n_dup_lines"), lines),
+        "repeat_pm": whole(1000 * beyond("n_repeat_words"), n),
         "word_len": length,
         "short_word": length,
     }
@@ -106,49 +114,63 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, total, and one threshold per metric."""
+    """keys, metric, total and limit of each group's own sketch."""
     part = W.partitionBy(*keys, "metric")
     up = part.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     run = sketch.select(*keys, "metric", "bucket", F.sum("n").over(up).alias("upto"), F.sum("n").over(part).alias("total"))
-    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket")))
-    out = run.groupBy(*keys, "metric").agg(F.first("total").alias("total"), at(25).alias("q25"), at(50).alias("q50"), at(75).alias("q75"))
-    value = F.lit(None).cast("long")
-    for m, (side, times, margin) in RULES.items():
-        v = F.col("q75") + times * (F.col("q75") - F.col("q50")) + margin if side == "upper" else F.col("q25") - times * (F.col("q50") - F.col("q25")) - margin
-        value = F.when(F.col("metric") == m, v).otherwise(value)
-    out = out.select(*keys, "metric", "total", value.alias("v"))
-    return out.groupBy(*keys).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("metric") == m, F.col("v"))).alias(f"{m}_limit") for m in RULES])
+    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket"))).alias(f"q{q}")
+    out = run.groupBy(*keys, "metric").agg(F.first("total").alias("total"), *[at(q) for q in sorted({50, *(r[1] for r in RULES.values())})])
+    limit = F.lit(None).cast("long")
+    for m, (_, q, times, _) in RULES.items():
+        limit = F.when(F.col("metric") == m, F.col("q50") + (times + 1) * (F.col(f"q{q}") - F.col("q50"))).otherwise(limit)
+    return out.select(*keys, "metric", "total", F.greatest(limit, F.lit(0)).alias("limit"))
+
+
+def averaged(own: Column, n: Column, other: Column, weight: int) -> Column:
+    """The mean of a limit from n documents and of another that counts for weight documents."""
+    return F.floor((n * own + weight * other) / (n + weight)).cast("long")
+
+
+def limits(by_source: DataFrame, weight: int = MIN_DOCS) -> DataFrame:
+    """From sketches by g_lang and g_source: one row per group, with the columns <metric>_limit."""
+    by_lang = merged(by_source, ["g_lang"])
+    own = thresholds(by_source, ["g_lang", "g_source"])
+    lang = thresholds(by_lang, ["g_lang"]).select(F.col("g_lang").alias("l"), F.col("metric").alias("m"), F.col("total").alias("n"), F.col("limit").alias("l_limit"))
+    every = thresholds(merged(by_lang, []).withColumn("one", F.lit(1)), ["one"]).select(F.col("metric").alias("a"), F.col("limit").alias("a_limit"))
+    every = F.broadcast(every)  # a row for each of RULES at most
+    shared = F.col("m").isin([m for m, r in RULES.items() if r[3]])
+    lang = lang.join(every, F.col("m") == F.col("a"))
+    lang = lang.select("l", "m", F.when(shared, averaged(F.col("l_limit"), F.col("n"), F.col("a_limit"), weight)).otherwise(F.col("l_limit")).alias("l_limit"))
+    met = own.join(lang, F.col("g_lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("m")))
+    met = met.select("g_lang", "g_source", "metric", averaged(F.col("limit"), F.col("total"), F.col("l_limit"), weight).alias("limit"))
+    return met.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(f"{m}_limit") for m in RULES])
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs without text, with the base counts, metrics, thresholds, base_failed and kept."""
-    others = [c for c in docs.columns if c not in {text_col, lang_col, source_col, *COUNTS, *RULES, "n_lines", "base_failed", "kept", "g_lang", "g_source"}]
+    """docs without text, language and source, with the base counts, metrics, limits, base_failed, kept, g_lang and g_source.
+    Columns of docs that are named like one of these, or begin with two underscores, are left out."""
+    made = {text_col, lang_col, source_col, *COUNTS, *RULES, *(f"{m}_limit" for m in RULES), "n_lines", "base_failed", "kept", "g_lang", "g_source"}
+    others = [f"`{c}`" for c in docs.columns if c not in made and not c.startswith("__")]
     base = docs.select(*others, F.col(text_col).alias("__text"), F.col(lang_col).alias("g_lang"), F.col(source_col).alias("g_source"))
     counted = with_counts(base, "__text").drop("__text")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     counted = saved(counted.withColumns({**_metrics(), "base_failed": failed}))
     by_source = saved(sketches(counted.filter(~F.col("base_failed")), ["g_lang", "g_source"]))
-    limit = [f"{m}_limit" for m in RULES]
-    own = thresholds(by_source, ["g_lang", "g_source"])
-    by_lang = merged(by_source, ["g_lang"])
-    lang = thresholds(by_lang, ["g_lang"]).select(F.col("g_lang").alias("l"), F.col("total").alias("l_total"), *[F.col(c).alias(f"l_{c}") for c in limit])
-    all_ = thresholds(merged(by_lang, []).withColumn("one", F.lit(1)), ["one"]).select(*[F.col(c).alias(f"a_{c}") for c in limit])
-    table = own.join(lang, F.col("g_lang").eqNullSafe(F.col("l")), "left").crossJoin(all_)  # one row at most on the right
-    pick = [F.when(F.col("total") >= min_docs, F.col(c)).when(F.col("l_total") >= min_docs, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")).alias(c) for c in limit]
-    table = table.select(F.col("g_lang").alias("t_lang"), F.col("g_source").alias("t_source"), *pick)
-    met = counted.join(table, F.col("g_lang").eqNullSafe(F.col("t_lang")) & F.col("g_source").eqNullSafe(F.col("t_source")), "left")
+    table = limits(by_source, min_docs).withColumnsRenamed({"g_lang": "__lang", "g_source": "__source"})
+    met = counted.join(table, F.col("g_lang").eqNullSafe(F.col("__lang")) & F.col("g_source").eqNullSafe(F.col("__source")), "left")
     good = ~F.col("base_failed")
     for m, (side, *_) in RULES.items():
-        ok = F.col(m) <= F.col(f"{m}_limit") if side == "upper" else F.col(m) >= F.col(f"{m}_limit")
+        seen = bucket(F.col(m))  # as exact as the limit is
+        ok = seen <= F.col(f"{m}_limit") if side == "upper" else seen >= F.col(f"{m}_limit")
         good = good & F.coalesce(ok, F.lit(True))
-    return met.drop("t_lang", "t_source").withColumn("kept", good)
+    return met.drop("__lang", "__source").withColumn("kept", good)
 
 
 def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
-    """The rows that the rules keep, with their own columns. Rows meet their verdict by id and the text's hash, as one id may
-    have several texts; its language and source decide too, so of several verdicts for one pair each row needs a good one."""
-    names = docs.columns
-    marked = docs.select(*names, F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h"))
-    judged = quality_rules(marked.select(F.col("__id"), F.col("__h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")), min_docs=min_docs)
-    good = judged.groupBy(F.col("__id").alias("k"), F.col("__h").alias("h")).agg(F.min("kept").alias("good")).filter("good")
-    return marked.join(good, F.col("__id").eqNullSafe(F.col("k")) & (F.col("__h") == F.col("h")), "left_semi").select(*names)
+    """The rows that the rules keep, with their own columns, whatever those are called. Rows meet their verdict by id and the
+    text's hash, as one id may have several texts; its language and source decide too, so of several verdicts for one pair each
+    row needs a good one. Null and empty texts go; repeated rows stay or go together; an empty table stays empty."""
+    row = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+    judged = quality_rules(docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")), min_docs=min_docs)
+    good = judged.groupBy(F.col("i").alias("j"), F.col("h").alias("k")).agg(F.min("kept").alias("good")).filter("good")
+    return row.join(good, F.col("i").eqNullSafe(F.col("j")) & (F.col("h") == F.col("k")), "left_semi").select("row.*")
