@@ -11,11 +11,11 @@ context tree.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +56,15 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def packed(a: np.ndarray, delta: bool = False) -> bytes:
-    return zlib.compress((np.diff(a, prepend=a.dtype.type(0)) if delta else a).tobytes(), 1)
+    """Numbers (or the steps between them) by planes: first all lowest bytes, then all second bytes, and so on, compressed."""
+    a = np.diff(a, prepend=a.dtype.type(0)) if delta else a
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpacked(raw: bytes, dtype, delta: bool = False) -> np.ndarray:
-    a = np.frombuffer(zlib.decompress(raw), dtype=dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    a = np.ascontiguousarray(planes.T).view(dtype).ravel()
     return np.cumsum(a, dtype=dtype) if delta else a
 
 
@@ -117,7 +121,7 @@ def gather(shards: int, depth: int, limit: int):
                 settle()
             sizes = [len(t) for t in texts]
             size += sum(sizes)
-            yield _batch([{"bundle": bundle, "shard": TEXTS, "ids": ids, "held": held, "sizes": sizes, "texts": zlib.compress(b"".join(texts), 1), "n_train": held.count(False)}])
+            yield _batch([{"bundle": bundle, "shard": TEXTS, "ids": ids, "held": held, "sizes": sizes, "texts": zstandard.ZstdCompressor(level=3).compress(b"".join(texts)), "n_train": held.count(False)}])
             if size > limit:
                 yield from answered()
                 bundle, size, found[:] = bundle + 1, 0, []
@@ -253,7 +257,7 @@ def scored(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[list
                 codes, logs = np.concatenate([g for g, _ in held]), np.concatenate([v for _, v in held])
                 order = np.argsort(codes)
                 codes, logs, held = codes[order], logs[order], []
-            raw, at = zlib.decompress(texts), np.r_[0, np.cumsum(sizes)]
+            raw, at = zstandard.ZstdDecompressor().decompress(texts), np.r_[0, np.cumsum(sizes)]
             each = [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
             code, start = grams_of(each, depth)
             found = pa.array(code).dictionary_encode()
