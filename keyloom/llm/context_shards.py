@@ -24,6 +24,8 @@ END, DEPTH = 0xFF, 6
 PART, BUNDLE = 2_000_000, 32_000_000
 #: As shard: a row with texts, which stands after the answers to its bundle.
 TEXTS = 1 << 30
+#: Steps of a logarithm on its way back to the texts, as fine as those of a float.
+STEPS = 1 << 20
 BUNDLES = "bundle long, shard int, grams binary, counts binary, ids array<long>, held array<boolean>, sizes array<long>, texts binary, n_train long"
 _NAMES = ["bundle", "shard", "grams", "counts", "ids", "held", "sizes", "texts", "n_train"]
 _TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.int64()]
@@ -121,7 +123,7 @@ def gather(shards: int, depth: int, limit: int):
                 settle()
             sizes = [len(t) for t in texts]
             size += sum(sizes)
-            yield _batch([{"bundle": bundle, "shard": TEXTS, "ids": ids, "held": held, "sizes": sizes, "texts": zstandard.ZstdCompressor(level=3).compress(b"".join(texts)), "n_train": held.count(False)}])
+            yield _batch([{"bundle": bundle, "shard": TEXTS, "ids": ids, "held": held, "sizes": sizes, "texts": zstandard.ZstdCompressor(level=6).compress(b"".join(texts)), "n_train": held.count(False)}])
             if size > limit:
                 yield from answered()
                 bundle, size, found[:] = bundle + 1, 0, []
@@ -182,7 +184,7 @@ class Weighted:
         for level in range(8):
             at = 1 << level | symbol >> (8 - level)
             out += np.log10(adds[self.last, at, symbol >> (7 - level) & 1] + leaves[self.last, at] * self.deep[level])
-        return out.astype(np.float32)
+        return out
 
 
 def top_of(counts: np.ndarray, below: np.ndarray, block) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +236,7 @@ def sums_of(depth: int, block):
 def answers_of(depth: int, block, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tree, asked in _shards(batches, depth, block):
-            logs = tree.logs(shared.value)
+            logs = np.round(tree.logs(shared.value) * -STEPS).astype(np.uint32)
             for bundle, shard, grams in asked:
                 at = np.searchsorted(tree.codes, unpacked(grams, np.uint64, True))
                 yield _batch([{"bundle": bundle, "shard": shard, "grams": grams, "counts": packed(logs[at])}])
@@ -251,12 +253,12 @@ def scored(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[list
             if bundle != now:
                 now, held, codes = bundle, [], None
             if shard != TEXTS:
-                held.append((unpacked(grams, np.uint64, True), unpacked(values, np.float32)))
+                held.append((unpacked(grams, np.uint64, True), unpacked(values, np.uint32)))
                 continue
             if codes is None:
                 codes, logs = np.concatenate([g for g, _ in held]), np.concatenate([v for _, v in held])
                 order = np.argsort(codes)
-                codes, logs, held = codes[order], logs[order], []
+                codes, logs, held = codes[order], logs[order] / -STEPS, []
             raw, at = zstandard.ZstdDecompressor().decompress(texts), np.r_[0, np.cumsum(sizes)]
             each = [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
             code, start = grams_of(each, depth)

@@ -31,7 +31,7 @@ from .common import LOWER, NO_ID, UPPER, ascii_lower, bucket_of, saved, small_ba
 from .context_shards import DEPTH, _sum_by, model, scored
 from .quality_rules import bucket
 
-END, HEAD = 0xFF, 100_000
+END, HEAD = 0xFF, 300_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Bytes that are looked at together.
 PART = 2_000_000
