@@ -70,6 +70,38 @@ def unpacked(raw: bytes, dtype, delta: bool = False) -> np.ndarray:
     return np.cumsum(a, dtype=dtype) if delta else a
 
 
+class Places:
+    """Where each of many different numbers stands, by open addressing."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, bits = codes, max(4, (3 * len(codes)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        rest, slot = np.arange(len(codes), dtype=np.int32), self._first(codes)
+        while len(rest):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = rest[free]  # of several for one slot, one has it
+            lost = self.slots[slot] != rest
+            rest, slot = rest[lost], (slot[lost] + 1) & self.mask
+
+    def _first(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """The places of these, all of which must be there."""
+        slot = self._first(codes)
+        at = self.slots[slot]
+        wrong = np.flatnonzero(self.codes[at] != codes)
+        slot = slot[wrong]
+        while len(wrong):
+            slot = (slot + 1) & self.mask
+            here = self.slots[slot]
+            at[wrong] = here
+            still = self.codes[here] != codes[wrong]
+            wrong, slot = wrong[still], slot[still]
+        return at
+
+
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r.get(n) for r in rows], t) for n, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
 
@@ -256,18 +288,12 @@ def scored(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[list
                 held.append((unpacked(grams, np.uint64, True), unpacked(values, np.uint32)))
                 continue
             if codes is None:
-                codes, logs = np.concatenate([g for g, _ in held]), np.concatenate([v for _, v in held])
-                order = np.argsort(codes)
-                codes, logs, held = codes[order], logs[order] / -STEPS, []
+                codes, logs = Places(np.concatenate([g for g, _ in held])), np.concatenate([v for _, v in held]) / -STEPS
+                held = []
             raw, at = zstandard.ZstdDecompressor().decompress(texts), np.r_[0, np.cumsum(sizes)]
             each = [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
             code, start = grams_of(each, depth)
-            found = pa.array(code).dictionary_encode()
-            kinds = found.dictionary.to_numpy()
-            order = np.argsort(kinds)  # neighbours are found near each other
-            value = np.empty(len(kinds), np.float64)
-            value[order] = logs[np.searchsorted(codes, kinds[order])]
-            yield ids, marks, each, np.add.reduceat(value[found.indices.to_numpy()], start)
+            yield ids, marks, each, np.add.reduceat(logs[codes.of(code)], start)
 
 
 def model(rows: DataFrame, block, saved, depth: int = DEPTH, limit: int = BUNDLE) -> tuple[DataFrame, int]:

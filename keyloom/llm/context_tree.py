@@ -24,14 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NO_ID, UPPER, ascii_lower, bucket_of, saved, small_batches
+from .common import LOWER, NO_ID, UPPER, bucket_of, saved, small_batches
 from .context_shards import DEPTH, _sum_by, model, scored
 from .quality_rules import bucket
 
 END, HEAD = 0xFF, 300_000
+#: White space besides the blank.
+SPACES = "\t\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Bytes that are looked at together.
 PART = 2_000_000
@@ -167,6 +170,17 @@ def tokens(raw: bytes) -> list[bytes]:
     return raw.translate(_LOWER).split()
 
 
+def words_of(texts: list[bytes]) -> tuple[pa.StringArray, np.ndarray]:
+    """The lower-cased words of texts in UTF-8, one after the other, and where those of each text begin."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32).tobytes())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.StringArray.from_buffers(len(texts), ends, pa.py_buffer(b"".join(texts)))))
+    found, number = lists.flatten(), lists.value_lengths().to_numpy()
+    real = pc.binary_length(found).to_numpy() > 0
+    before = np.r_[0, np.cumsum(real)][np.r_[0, np.cumsum(number)[:-1]]]
+    return found.filter(pa.array(real)), before.astype(np.int64)
+
+
 def frequent(counts: DataFrame, head: int) -> list[tuple[str, int]]:
     """The tokens with the greatest counts, `head` at most, as far as whole buckets of counts go. The bound is found on sums by
     bucket, of which there are a few thousand at most, so neither a task nor the driver gets more than the result."""
@@ -187,35 +201,36 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = bucket_of(id_col, 7) == 2
     train = small_batches(docs).filter(~held).select(text.alias("t"))
-    word = F.explode(F.split(ascii_lower(F.col("t")), r"[\x20\x09-\x0D]+")).alias("w")
+    word = F.explode(F.split(F.translate("t", UPPER + SPACES, LOWER + " " * len(SPACES)), " ")).alias("w")
     counts = saved(train.select(word).filter("w != ''").groupBy("w").agg(F.count("*").alias("c")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.encode(text, "UTF-8").alias("t"))
     asked, ends = model(rows, block_of_counts, saved, depth)  # one end for each training text
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
     whole = total + 1 * (kinds + 1)
-    table = {w.encode(): math.log10((c + 1) / whole) for w, c in frequent(counts, head)}
-    shared = spark.sparkContext.broadcast(table)
+    top = frequent(counts, head)
+    shared = spark.sparkContext.broadcast(([w for w, _ in top], np.log10((np.array([c for _, c in top], dtype=np.float64) + 1) / whole)))
     end_score = math.log10((ends + 1) / whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        names, logs = shared.value
+        names, logs = pa.array(names, pa.string()), np.append(logs, 0.0)  # the last: of no token of the head
         for ids, marks, raw, score in scored(batches, depth):
-            n, hits, base, rest = [], [], [], []
-            for t in raw:
-                found = [known.get(w, w) for w in tokens(t)]
-                left = [x for x in found if type(x) is bytes]
-                n.append(len(found) + 1)
-                hits.append(len(found) - len(left) + (ends > 0))
-                base.append(sum([x for x in found if type(x) is float]) + end_score)
-                rest.append(left)
+            words, first = words_of(raw)
+            at = pc.fill_null(pc.index_in(words, value_set=names), len(names)).to_numpy()
+            missing = at == len(names)
+            total_of = lambda x: np.add.reduceat(np.append(x, 0), first) * (ends_of > first)  # noqa: B023, E731
+            ends_of = np.append(first[1:], len(words))
+            n, base, hits = ends_of - first + 1, total_of(logs[at]) + end_score, total_of(~missing) + (ends > 0)
+            cuts = np.r_[0, np.cumsum(total_of(missing))].astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(cuts), words.filter(pa.array(missing)))
             sizes = [len(t) for t in raw]
-            cols = [pa.array(ids, pa.int64()), pa.array(marks, pa.bool_()), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.binary()))]
+            cols = [pa.array(ids, pa.int64()), pa.array(marks, pa.bool_()), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64()), rest]
             yield pa.record_batch(cols, names=["doc_id", "held_out", "n_tokens", "n_head", "base_head", "score", "n_bytes", "rest"])
 
-    first = asked.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score double, n_bytes long, rest array<binary>")
+    first = asked.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score double, n_bytes long, rest array<string>")
     first = saved(first.withColumn("uid", F.monotonically_increasing_id()))
-    rest = first.select("uid", F.explode("rest").alias("x")).select("uid", F.col("x").cast("string").alias("x"))
+    rest = first.select("uid", F.explode("rest").alias("x"))
     c = F.coalesce("c", F.lit(0))
     rest = rest.join(counts, F.col("x") == F.col("w"), "left").groupBy("uid").agg(F.sum(F.log10((c + 1) / F.lit(float(whole)))).alias("base_rest"), F.sum((c > 0).cast("long")).alias("n_rest"))
     out = first.drop("rest").join(rest, "uid", "left")
