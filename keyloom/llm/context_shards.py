@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 END, DEPTH = 0xFF, 6
 #: Bytes of text that are looked at together, and that share a bundle's grams.
 PART, BUNDLE = 2_000_000, 32_000_000
@@ -57,19 +59,6 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
-def packed(a: np.ndarray, delta: bool = False) -> bytes:
-    """Numbers (or the steps between them) by planes: first all lowest bytes, then all second bytes, and so on, compressed."""
-    a = np.diff(a, prepend=a.dtype.type(0)) if delta else a
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
-
-
-def unpacked(raw: bytes, dtype, delta: bool = False) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
-    a = np.ascontiguousarray(planes.T).view(dtype).ravel()
-    return np.cumsum(a, dtype=dtype) if delta else a
-
-
 class Places:
     """Where each of many different numbers stands, by open addressing."""
 

@@ -7,20 +7,25 @@ Who may meet: sets of sizes within the threshold differ in at most H elements, H
 into H + 1 + SPARE classes; two linked sets agree in one of these at least, and in SPARE more. The agreeing classes' content
 is the signature under which they meet. (A class without elements tells nothing and is left out, unless a set has more than
 SPARE such classes, when it lists them all.) Sizes are cut into buckets so that linked sets lie in one or neighbouring buckets;
-a set signs for both pairs of buckets that it belongs to. Those under one signature form a family around its smallest id,
-and families around one id are one family. So every link lies within a family.
+a set signs for both pairs of buckets that it belongs to. Those under one signature form a family around one of them, its lead,
+and families around one lead are one family. So every link lies within a family.
+
+Signatures are many, and nearly all of them are met by nobody. So tasks gather them in batches, sorted, as steps of a few
+bytes, and send each shard one piece of a batch; a signature that several sets of a batch share goes there once, for the first
+of them, and the others learn the lead that the shard finds in a join on signature and batch. A signature that a third of all sets
+share thus sends a shard one entry a batch. Texts travel only for sets with a family: a table of bits keeps the others back.
 
 Within a family the sets are stored in a trie in global order. Each set traverses the trie of those before it, sharing the
 overlap of common beginnings; a subtree is left when even all remaining elements can't reach the threshold, or when it lies
 wholly in the component of the traversing set already. What is returned are the links that join components, not all pairs.
 
-A family of more than BLOCK sets is cut into blocks, each with the central set. Sets that a block doesn't connect with the
+A family of more than BLOCK sets, or of more than BLOCK_SIZE elements, is cut into blocks, each with the lead. Sets that a block doesn't connect with the
 central one are then joined against all other blocks, so that no link is lost and no task holds more than a block and as many
 probes. Components come from large-star and small-star steps.
 
 Defined results: null or empty text, or text of white space, has no shingle, a component of its own and links with nothing;
 a null id sorts after all others; repeated rows are linked with each other; each row follows its own text if one id has
-several; an empty table gives an empty result; other columns are ignored.
+several (rows are known by id and the text's hash); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +38,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import number, original, saved, small_batches
+from .common import among, number, original, packed, saved, small_batches, unpacked
 from .components import connected
 from .context_tree import tokens
 
-SPARE, BLOCK, PROBES = 1, 1000, 1000
+SPARE, BLOCK, BLOCK_SIZE, PROBES = 1, 250, 200_000, 1000
+#: Signatures that a task gathers before it sends them, bytes of text that send one shard theirs, and bits of a signature.
+GATHERED, SHARE, SIGN_BITS = 1_500_000, 20_000_000, 48
+#: Kinds of rows that tasks give: a document's set, a batch's signatures for a shard, and those of a batch that share one.
+SET, SIGNS, GROUP = 0, 1, 2
 #: Words whose hashes a task keeps.
 KEPT = 100_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -224,26 +232,97 @@ class Trie:
         return k, met
 
 
-def _describe(width: int, measure: Measure, signed: bool) -> Callable:
+_KINDS = [("kind", pa.int32()), ("uid", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("shard", pa.int32()), ("sign", pa.int64()), ("codes", pa.binary()), ("leads", pa.binary()), ("members", pa.list_(pa.int64()))]
+DESCRIBED = "kind int, uid long, id long, h long, n long, mark binary, shard int, sign long, codes binary, leads binary, members array<long>"
+
+
+def _rows(kind: int, **columns: list) -> pa.RecordBatch:
+    size = len(next(iter(columns.values())))
+    return pa.record_batch([pa.array([kind] * size, t) if n == "kind" else pa.array(columns[n], t) if n in columns else pa.nulls(size, t) for n, t in _KINDS], names=[n for n, _ in _KINDS])
+
+
+def _describe(width: int, measure: Measure, shards: int, gathered: int) -> Callable:
+    """Rows (id, h, text) to the three kinds. A document's uid counts within its partition; what is read of this is a checkpoint,
+    so that a uid names one document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base = uid = TaskContext.get().partitionId() << 33
         seen: set[bytes] = set()
+        signs, owners, held = [], [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            code, owner = np.concatenate(signs) >> np.uint64(64 - SIGN_BITS), np.concatenate(owners)
+            order = np.argsort(code, kind="stable")  # owners ascend, so the first of a signature is the smallest
+            code, owner = code[order], owner[order]
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            count = np.diff(np.r_[first, len(code)])
+            for k in range(0, len(many := np.flatnonzero(count > 1)), 20_000):
+                some = many[k : k + 20_000]
+                bounds = zip(first[some].tolist(), (first + count)[some].tolist(), strict=True)
+                yield _rows(GROUP, sign=code[first[some]].astype(np.int64), uid=owner[first[some]], members=[np.unique(owner[a + 1 : z]) for a, z in bounds])
+            code, lead = code[first], (owner[first] - base).astype(np.uint32) << np.uint32(1) | (count > 1)
+            shard = (code * np.uint64(shards) >> np.uint64(SIGN_BITS)).astype(np.int32)
+            cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+            ranges = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            yield _rows(SIGNS, uid=[base] * len(ranges), shard=shard[cut[:-1]], codes=[packed(code[a:z], True) for a, z in ranges], leads=[packed(lead[a:z]) for a, z in ranges])
+
         for b in batches:
-            texts, ids = b.column(1).to_pylist(), b.column(0).to_pylist()
-            for a in range(0, len(texts), 200):
-                sets = [shingle_set(t, width) for t in texts[a : a + 200]]
+            for a in range(0, b.num_rows, 200):
+                ids, hs, texts = (c.slice(a, 200).to_pylist() for c in b.columns)
+                sets = [shingle_set(t, width) for t in texts]
                 marks = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                if not signed:
-                    yield pa.record_batch([pa.array(ids[a : a + 200], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(marks, pa.binary())], names=["id", "n", "mark"])
-                    continue
-                rows = [(i, x, measure.signatures(s).view(np.int64)) for i, x, s in zip(ids[a : a + 200], marks, sets, strict=True) if len(s) and x not in seen]
-                if len(seen) < KEPT:  # copies within a task needn't sign again
-                    seen.update(marks)
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["id", "mark", "signs"])
+                for k, (s, m) in enumerate(zip(sets, marks, strict=True)):
+                    if len(s) and m not in seen:  # copies within a batch needn't sign again
+                        seen.add(m)
+                        signs.append(np.unique(measure.signatures(s)))
+                        owners.append(np.full(len(signs[-1]), uid + k))
+                        held += len(signs[-1])
+                yield _rows(SET, uid=list(range(uid, uid + len(ids))), id=ids, h=hs, n=list(map(len, sets)), mark=marks)
+                uid += len(ids)
+                if held > gathered:
+                    yield from sent()
+                    seen.clear()
+                    signs, owners, held = [], [], 0
+        if held:
+            yield from sent()
         _words.clear()  # the process goes on to other tasks
 
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, uid, codes, leads), sorted by shard, to pairs (node, lead), and with a sign where the node has a group of its
+    batch behind it."""
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        code = np.concatenate([unpacked(c, np.uint64, True) for _, c, _ in held])
+        raw = [unpacked(x, np.uint32) for _, _, x in held]
+        lead = np.concatenate([base + (x >> 1).astype(np.int64) for (base, _, _), x in zip(held, raw, strict=True)])
+        group = np.concatenate([(x & 1).astype(bool) for x in raw])
+        order = np.lexsort((lead, code))
+        code, lead, group = code[order], lead[order], group[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        head = np.repeat(lead[first], np.diff(np.r_[first, len(code)]))
+        other = head != lead
+        each = np.unique(np.stack([lead[other], head[other]], 1), axis=0)
+        yield pa.record_batch([pa.array(each[:, 0]), pa.array(each[:, 1]), pa.nulls(len(each), pa.int64())], names=["node", "lead", "sign"])
+        more = other & group
+        yield pa.record_batch([pa.array(lead[more]), pa.array(head[more]), pa.array(code[more].astype(np.int64))], names=["node", "lead", "sign"])
+
+    now, held = None, []
+    for b in batches:
+        for shard, base, codes, leads in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if shard != now and held:
+                yield from pairs()
+                held = []
+            now = shard
+            held.append((base, codes, leads))
+    if held:
+        yield from pairs()
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[tuple[int, bool, bytes]]]]:
     """Rows (lead, block, probe, id, t), sorted by lead and block, by group."""
     now, held = None, []
@@ -287,30 +366,48 @@ def _linked(width: int, measure: Measure) -> Callable:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, per: int = 90, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    return _components(docs, id_col, text_col, width, per, block).drop("h")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, per: int, block: int) -> DataFrame:
+    """And h, the hash of the document's text."""
     measure = Measure(per)
-    rows = small_batches(docs).select(number(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
-    sized = saved(rows.mapInArrow(_describe(width, measure, False), "id long, n long, mark binary"))
-    # one node for each set: the smallest id
-    nodes = saved(sized.filter("n > 0").groupBy("mark").agg(F.min("id").alias("node")))
-    signed = rows.mapInArrow(_describe(width, measure, True), "id long, mark binary, signs array<bigint>")
-    signed = signed.groupBy("mark").agg(F.first("signs").alias("signs"))
-    signs = signed.join(nodes, "mark").select(F.explode("signs").alias("sign"), "node")
-    # a set appears once under a signature, and under many: even the most common signature is a small part of the rows
-    same = W.partitionBy("sign")
-    families = signs.select("node", F.min("node").over(same).alias("lead")).filter("node != lead").distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = small_batches(docs).select(number(id_col).alias("id"), F.xxhash64(text).alias("h"), F.encode(text, "UTF-8").alias("t"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0))).first()[0]
+    shards = int(total // SHARE + 16)
+    found = saved(rows.mapInArrow(_describe(width, measure, shards, GATHERED), DESCRIBED))
+    sized = found.filter(F.col("kind") == SET).select("uid", "id", "h", "n", "mark")
+    # one node for each set: the document of the smallest uid; its name in the graph is that uid
+    nodes = saved(sized.filter("n > 0").groupBy("mark").agg(F.min(F.struct("uid", "id", "h", "n")).alias("rep"), F.min("id").alias("least")).select("mark", F.col("rep.uid").alias("node"), "rep.id", "rep.h", "rep.n", "least"))
+    signs = found.filter(F.col("kind") == SIGNS).select("shard", "uid", "codes", "leads")
+    met = saved(signs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_met, "node long, lead long, sign long"))
+    # sets of one batch that share a signature: around the lead that its shard found, or else around their own
+    group = found.filter(F.col("kind") == GROUP).select(F.col("sign").alias("s"), F.col("uid").alias("u"), F.explode("members").alias("node"))
+    heads = met.filter("sign is not null").select("sign", F.col("node").alias("own"), "lead")
+    group = group.join(heads, (F.col("s") == F.col("sign")) & (F.col("u") == F.col("own")), "left").select("node", F.coalesce("lead", "u").alias("lead"))
+    families = met.filter("sign is null").select("node", "lead").union(group).distinct()
+    # copies stand for one node
+    same = sized.filter("n > 0").join(nodes.select(F.col("mark").alias("m"), F.col("node").alias("to")), F.col("mark") == F.col("m")).select("uid", "to")
+    families = families.join(same, F.col("node") == F.col("uid")).select(F.col("to").alias("node"), "lead")
+    families = families.join(same, F.col("lead") == F.col("uid")).select("node", F.col("to").alias("lead"))
+    families = families.filter("node != lead").distinct().join(nodes.select("node", "n"), "node")
     families = saved(families)
-    # saved, so that the join below is one of two plain exchanges, of which Spark splits a family's that is too large
-    sizes = saved(families.groupBy("lead").agg(F.count("*").alias("size")))
-    blocks = families.join(sizes, "lead").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    blocks = saved(blocks.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    sizes = families.groupBy("lead").agg(F.count("*").alias("size"), F.sum("n").alias("elements"))
+    sizes = sizes.select("lead", F.ceil(F.greatest(F.col("size") / block, F.col("elements") / BLOCK_SIZE)).cast("int").alias("blocks"))
+    blocks = families.join(sizes, "lead")
+    blocks = saved(blocks.select("lead", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
     centres = blocks.select("lead", "block", F.col("lead").alias("node")).distinct()
     members = blocks.select("lead", "block", "node").union(centres)
-    texts = rows.withColumnRenamed("id", "node")
+    # the texts of nodes with a family, by id and hash
+    wanted = saved(blocks.select("node").union(blocks.select("lead")).distinct().join(nodes.select("node", F.col("id").alias("i"), F.col("h").alias("k")), "node"))
+    texts = among(rows, F.xxhash64("id", "h"), wanted.select(F.xxhash64("i", "k").alias("key")), wanted.count())
+    texts = texts.groupBy("id", "h").agg(F.first("t").alias("t"))
 
     def linked(group: DataFrame) -> DataFrame:
         """group: lead, block, node, probe"""
-        met = group.join(texts, "node").select("lead", "block", "probe", F.col("node").alias("id"), "t")
-        met = met.repartition("lead", "block").sortWithinPartitions("lead", "block")
+        met = group.join(wanted, "node").join(texts, (F.col("i") == F.col("id")) & (F.col("k") == F.col("h")))
+        met = met.select("lead", "block", "probe", F.col("node").alias("id"), "t").repartition("lead", "block").sortWithinPartitions("lead", "block")
         return met.mapInArrow(_linked(width, measure), "lead long, a long, b long")
 
     first = saved(linked(members.withColumn("probe", F.lit(False))))
@@ -329,14 +426,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         stored = wide.join(slices, "lead").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         stored = stored.select("lead", code.alias("block"), "node", F.lit(False).alias("probe"))
         links = links.union(saved(linked(probes.union(stored))).filter("b is not null").select("a", "b"))
-    found = connected(links)
-    out = sized.join(nodes, "mark", "left").select("id", "n", F.coalesce("node", "id").alias("at"))
-    out = out.join(found, F.col("at") == F.col("node"), "left")
-    return out.select(original("id").alias("doc_id"), F.col("n").alias("n_shingles"), original(F.coalesce("component", "at")).alias("component_id"))
+    joined = connected(links).select(F.col("node").alias("of"), "component")
+    # the smallest id of each component, by sets first
+    placed = nodes.select("mark", "least", "node").join(joined, F.col("node") == F.col("of"), "left").select("mark", "least", F.coalesce("component", "node").alias("c"))
+    least = placed.groupBy("c").agg(F.min("least").alias("component_id")).withColumnRenamed("c", "d")
+    placed = placed.join(least, F.col("c") == F.col("d")).select(F.col("mark").alias("m"), "component_id")
+    out = sized.join(placed, F.col("mark") == F.col("m"), "left")
+    return out.select(original("id").alias("doc_id"), F.col("n").alias("n_shingles"), original(F.coalesce("component_id", "id")).alias("component_id"), "h")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, per: int = 90) -> DataFrame:
-    """docs without those whose component has a smaller id; rows of one id stay or go together."""
-    gone = jaccard_components(docs, id_col, text_col, width, per).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(number("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, number(id_col) == F.col("__gone"), "left_anti")
+    """docs without those whose component has a smaller id; rows of one id and text stay or go together. Null and empty texts stay;
+    columns of any name are kept; an empty table stays empty."""
+    gone = _components(docs, id_col, text_col, width, per, BLOCK).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = gone.select(number("doc_id").alias("j"), F.col("h").alias("k")).distinct()
+    row = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), number(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    return row.join(gone, (F.col("i") == F.col("j")) & (F.col("h") == F.col("k")), "left_anti").select("row.*")
