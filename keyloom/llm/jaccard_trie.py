@@ -46,6 +46,8 @@ from .context_tree import tokens
 SPARE, BLOCK, BLOCK_SIZE, PROBES = 1, 250, 200_000, 1000
 #: Signatures that a task gathers before it sends them, bytes of text that send one shard theirs, and bits of a signature.
 GATHERED, SHARE, SIGN_BITS = 1_500_000, 20_000_000, 48
+#: Tasks that families are dealt to at most.
+TASKS = 100_000
 #: Kinds of rows that tasks give: a document's set, a batch's signatures for a shard, and those of a batch that share one.
 SET, SIGNS, GROUP = 0, 1, 2
 #: Words whose hashes a task keeps.
@@ -394,7 +396,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, per: in
     families = families.filter("node != lead").distinct().join(nodes.select("node", "n"), "node")
     families = saved(families)
     sizes = families.groupBy("lead").agg(F.count("*").alias("size"), F.sum("n").alias("elements"))
-    sizes = sizes.select("lead", F.ceil(F.greatest(F.col("size") / block, F.col("elements") / BLOCK_SIZE)).cast("int").alias("blocks"))
+    # saved, so that the join below is one of two plain exchanges, of which Spark splits a family's that is too large
+    sizes = saved(sizes.select("lead", F.ceil(F.greatest(F.col("size") / block, F.col("elements") / BLOCK_SIZE)).cast("int").alias("blocks")))
     blocks = families.join(sizes, "lead")
     blocks = saved(blocks.select("lead", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
     centres = blocks.select("lead", "block", F.col("lead").alias("node")).distinct()
@@ -405,9 +408,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, per: in
     texts = texts.groupBy("id", "h").agg(F.first("t").alias("t"))
 
     def linked(group: DataFrame) -> DataFrame:
-        """group: lead, block, node, probe"""
+        """group: lead, block, node, probe. Groups are few rows and much work, so Spark doesn't choose the number of tasks by size."""
+        tasks = min(TASKS, max(16, group.count() // block))
         met = group.join(wanted, "node").join(texts, (F.col("i") == F.col("id")) & (F.col("k") == F.col("h")))
-        met = met.select("lead", "block", "probe", F.col("node").alias("id"), "t").repartition("lead", "block").sortWithinPartitions("lead", "block")
+        met = met.select("lead", "block", "probe", F.col("node").alias("id"), "t").repartition(tasks, "lead", "block").sortWithinPartitions("lead", "block")
         return met.mapInArrow(_linked(width, measure), "lead long, a long, b long")
 
     first = saved(linked(members.withColumn("probe", F.lit(False))))
