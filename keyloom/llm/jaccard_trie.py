@@ -4,9 +4,11 @@ A document's set holds its distinct word shingles, as 64-bit hashes; the order o
 equal sets are one node from the start, so exact copies cost nothing further.
 
 Who may meet: sets of sizes within the threshold differ in at most H elements, H by their sizes. Elements are dealt by hash
-into H + 1 + SPARE classes; two linked sets agree in one of these at least, and in SPARE more. The agreeing classes' content
-is the signature under which they meet. (A class without elements tells nothing and is left out, unless a set has more than
-SPARE such classes, when it lists them all.) Sizes are cut into buckets so that linked sets lie in one or neighbouring buckets;
+into H / 2 + 1 + spare classes, and those of a class into three parts. In all but H / 2 classes two linked sets differ in one element
+at most, so two parts of such a class agree; each two parts of a class are a signature under which sets meet. (Of few classes, as
+small sets have them, each counts whole, and there are H + 1 + spare.) A signature without elements tells nothing and is left out. Where
+that concerns more classes than are spare, a set signs under the next of SEEDS hashes as well, so that of two linked sets at least
+one has enough under a hash that both sign under. Sizes are cut into buckets so that linked sets lie in one or neighbouring buckets;
 a set signs for both pairs of buckets that it belongs to. Those under one signature form a family around one of them, its lead,
 and families around one lead are one family. So every link lies within a family.
 
@@ -43,7 +45,9 @@ from .common import among, number, original, packed, saved, small_batches, unpac
 from .components import connected
 from .context_tree import tokens
 
-SPARE, BLOCK, BLOCK_SIZE, PROBES = 1, 250, 200_000, 1000
+BLOCK, BLOCK_SIZE, PROBES = 250, 200_000, 1000
+#: Hashes that a set signs under at most; differing elements up to which classes count whole.
+SEEDS, FEW = 16, 8
 #: Signatures that a task gathers before it sends them, bytes of text that send one shard theirs, and bits of a signature.
 GATHERED, SHARE, SIGN_BITS = 1_500_000, 20_000_000, 48
 #: Tasks that families are dealt to at most.
@@ -100,25 +104,45 @@ class Measure:
             out.append(max(out[-1] + 1, -(-out[-1] * 100 // self.per)))
         return [*out, -(-out[-1] * 100 // self.per) + 1]
 
+    def classes(self, most: int) -> tuple[int, int, int]:
+        """For sets that differ in so many elements at most: classes, parts of each, and how many classes are spare."""
+        if most < FEW:
+            return most + 3, 1, 2
+        spare = 3 + most // 20
+        return most // 2 + 1 + spare, 3, spare
+
     def signatures(self, s: np.ndarray) -> np.ndarray:
         if not len(s):
             return np.zeros(0, np.uint64)
-        size = 1 << int(len(s)).bit_length()
-        bounds = self.bounds(size)
+        bounds = self.bounds(1 << int(len(s)).bit_length())
         k = int(np.searchsorted(bounds, len(s), side="right")) - 1
         value, out = mix(s * _C), []
-        for level in {max(k - 1, 0), k}:  # the buckets level and level + 1
-            most = self.apart(2 * (bounds[level + 2] - 1))
+        for level in {max(k - 1, 0), k}:  # where the smaller of two linked sets lies
+            least = bounds[level + 1] - 1
+            most = self.apart(least + least * 100 // self.per)
             if not most:  # only equal sets
                 continue
-            m = most + 1 + SPARE
-            part = (s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            content, part = np.add.reduceat(value, first), part[first]
-            if m - len(part) > SPARE:
-                bare = np.setdiff1d(np.arange(m, dtype=np.uint64), part)
-                content, part = np.r_[content, np.zeros(len(bare), np.uint64)], np.r_[part, bare]
-            out.append(mix(mix(content + part * _B) + np.uint64((level + 1) * int(_C) & 0xFFFFFFFFFFFFFFFF)))
+            classes, parts, spare = self.classes(most)
+            for seed in range(SEEDS):
+                h = mix(s + np.uint64(seed) * _B)
+                at = ((h >> np.uint64(32)) * np.uint64(classes) >> np.uint64(32)).astype(np.int64)
+                if parts > 1:
+                    at = at * parts + ((h & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                count = np.bincount(at, minlength=classes * parts).reshape(classes, parts)
+                content = np.zeros(classes * parts, np.uint64)
+                np.add.at(content, at, value)
+                content = content.reshape(classes, parts)
+                if parts > 1:  # all but one part
+                    count, content = count.sum(1, keepdims=True) - count, content.sum(1, keepdims=True) - content
+                bare = count == 0
+                enough = bare.any(1).sum() <= spare
+                if seed == SEEDS - 1 and not enough:
+                    bare[:] = False
+                name = np.uint64(level * SEEDS + seed + 1)
+                each = content.ravel() + np.arange(bare.size, dtype=np.uint64) * _B
+                out.append(mix(mix(each[~bare.ravel()]) + name * _C))
+                if enough:
+                    break
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

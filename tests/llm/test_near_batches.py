@@ -47,3 +47,19 @@ def test_one_id_with_several_texts(spark):
     other = " ".join(f"v{k}" for k in range(40))
     df = spark.createDataFrame([(1, text), (2, text + " end"), (2, other)], "doc_id long, text string")
     assert sorted(r["text"] for r in without_near_copies(df, per=80).collect()) == sorted([text, other])
+
+
+@pytest.mark.parametrize("per", [80, 90])
+def test_linked_sets_share_a_signature(per):
+    import numpy as np
+
+    from keyloom.llm.jaccard_trie import Measure
+
+    m, rng = Measure(per), np.random.default_rng(per)
+    for n in (4, 5, 6, 8, 11, 15, 20, 33, 60, 100, 250, 700):
+        for _ in range(150 if n < 200 else 30):
+            s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            gone, new = rng.integers(0, n // 4 + 1), rng.integers(0, n // 4 + 1)
+            t = np.unique(np.r_[rng.permutation(s)[gone:], rng.integers(0, 1 << 63, new).astype(np.uint64)])
+            if m.linked(len(s), len(t), len(np.intersect1d(s, t))) and not np.array_equal(s, t):
+                assert set(m.signatures(s).tolist()) & set(m.signatures(t).tolist()), (n, gone, new)
