@@ -138,7 +138,7 @@ class Measure:
                 enough = bare.any(1).sum() <= spare
                 if seed == SEEDS - 1 and not enough:
                     bare[:] = False
-                name = np.uint64(level * SEEDS + seed + 1)
+                name = np.array([level * SEEDS + seed + 1], np.uint64)
                 each = content.ravel() + np.arange(bare.size, dtype=np.uint64) * _B
                 out.append(mix(mix(each[~bare.ravel()]) + name * _C))
                 if enough:
@@ -267,6 +267,21 @@ def _rows(kind: int, **columns: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array([kind] * size, t) if n == "kind" else pa.array(columns[n], t) if n in columns else pa.nulls(size, t) for n, t in _KINDS], names=[n for n, _ in _KINDS])
 
 
+def popular_first(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and owners by code, owners that share most codes first, the smaller of equals; where each code begins, and the order.
+    So the many variants of a text gather around few leads."""
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    edge = code[1:] != code[:-1]
+    shared = ~(np.r_[True, edge] & np.r_[edge, True])
+    who, at = np.unique(owner, return_inverse=True)
+    fame = np.bincount(at[shared], minlength=len(who))
+    some = np.flatnonzero(shared)
+    turn = some[np.lexsort((owner[some], -fame[at[some]], code[some]))]
+    owner[some], order[some] = owner[turn], order[turn]
+    return code, owner, np.flatnonzero(np.r_[True, edge]), order
+
+
 def _describe(width: int, measure: Measure, shards: int, gathered: int) -> Callable:
     """Rows (id, h, text) to the three kinds. A document's uid counts within its partition; what is read of this is a checkpoint,
     so that a uid names one document."""
@@ -280,9 +295,7 @@ def _describe(width: int, measure: Measure, shards: int, gathered: int) -> Calla
 
         def sent() -> Iterator[pa.RecordBatch]:
             code, owner = np.concatenate(signs) >> np.uint64(64 - SIGN_BITS), np.concatenate(owners)
-            order = np.argsort(code, kind="stable")  # owners ascend, so the first of a signature is the smallest
-            code, owner = code[order], owner[order]
-            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            code, owner, first = popular_first(code, owner)[:3]
             count = np.diff(np.r_[first, len(code)])
             for k in range(0, len(many := np.flatnonzero(count > 1)), 20_000):
                 some = many[k : k + 20_000]
@@ -327,9 +340,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = [unpacked(x, np.uint32) for _, _, x in held]
         lead = np.concatenate([base + (x >> 1).astype(np.int64) for (base, _, _), x in zip(held, raw, strict=True)])
         group = np.concatenate([(x & 1).astype(bool) for x in raw])
-        order = np.lexsort((lead, code))
-        code, lead, group = code[order], lead[order], group[order]
-        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        code, lead, first, order = popular_first(code, lead)
+        group = group[order]
         head = np.repeat(lead[first], np.diff(np.r_[first, len(code)]))
         other = head != lead
         each = np.unique(np.stack([lead[other], head[other]], 1), axis=0)
@@ -457,7 +469,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, per: in
     joined = connected(links).select(F.col("node").alias("of"), "component")
     # the smallest id of each component, by sets first
     placed = nodes.select("mark", "least", "node").join(joined, F.col("node") == F.col("of"), "left").select("mark", "least", F.coalesce("component", "node").alias("c"))
-    least = placed.groupBy("c").agg(F.min("least").alias("component_id")).withColumnRenamed("c", "d")
+    least = saved(placed.groupBy("c").agg(F.min("least").alias("component_id")).withColumnRenamed("c", "d"))  # so that the join can be split
     placed = placed.join(least, F.col("c") == F.col("d")).select(F.col("mark").alias("m"), "component_id")
     out = sized.join(placed, F.col("mark") == F.col("m"), "left")
     return out.select(original("id").alias("doc_id"), F.col("n").alias("n_shingles"), original(F.coalesce("component_id", "id")).alias("component_id"), "h")
