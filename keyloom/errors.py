@@ -21,5 +21,9 @@ class IntegrityError(KeyloomError):
     """A foreign key, a part's integrity or a constraint would be broken."""
 
 
+class ConflictError(IntegrityError):
+    """Another writer has committed since the transaction began."""
+
+
 class MissingError(KeyloomError):
     """A table, namespace or stored object doesn't exist."""

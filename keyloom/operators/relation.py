@@ -56,8 +56,9 @@ class Relation:
         self.tracked = any(a.lineage for a in heading) if tracked is None else tracked
 
     @classmethod
-    def of(cls, df: DataFrame, key: list[str], origin: str | None = None, lineage: dict[str, str] | None = None, unique: bool = True) -> Relation:
-        """A relation on any DataFrame. lineage overrides origins, for foreign keys."""
+    def of(cls, df: DataFrame, key: list[str], origin: str | None = None, lineage: dict[str, str] | None = None, unique: bool = False) -> Relation:
+        """A relation on any DataFrame. lineage overrides origins, for foreign keys. unique: the key is known to be unique; if it
+        isn't, entities are its distinct values."""
         heading = Heading.of(df.schema, key, origin)
         heading = heading.with_attributes(**{n: replace(heading[n], lineage=x) for n, x in (lineage or {}).items()})
         return cls(df.select(*heading.names), heading, unique=unique)

@@ -25,6 +25,9 @@ from .codecs import encode
 from .definition import length_of
 
 
+UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
 @dataclass
 class Validation:
     """What validate() found; true if nothing."""
@@ -154,16 +157,33 @@ def frame(catalog: Catalog, table: str, rows: list[dict[str, Any]]) -> DataFrame
 
 
 def from_frame(catalog: Catalog, table: str, df: DataFrame, ignore_extra: bool) -> DataFrame:
-    """A DataFrame's common columns as the table's rows; defaults where it has none or null."""
+    """A DataFrame's common columns as the table's rows, stored as rows are: NaN is null, empty uuids and JSON too, uuids are in
+    lower case; defaults where it has none or null. Columns with a codec must hold what the codec stores. Automatic numbers are greater
+    than all present ones and differ, but needn't follow each other."""
     attributes = catalog.definition(table).heading.every
     extra = [c for c in df.columns if c not in {a.name for a in attributes}]
     if extra and not ignore_extra:
         raise KeyloomError(f"no such attributes: {extra}")
     columns = []
     for a in attributes:
-        value = F.col(f"`{a.name}`").cast(a.dtype) if a.name in df.columns else F.lit(None).cast(a.dtype)
+        if a.name not in df.columns:
+            value = F.lit(None).cast(a.dtype)
+        else:
+            kind, value = df.schema[a.name].dataType, F.col(f"`{a.name}`")
+            if a.codec and kind != a.dtype:
+                raise KeyloomError(f"{a.name}: a DataFrame must hold what {a.declared} stores, {a.dtype.simpleString()}; insert rows to have it encoded")
+            if isinstance(kind, (T.FloatType, T.DoubleType)):
+                value = F.when(~F.isnan(value), value)
+            if a.declared == "uuid":
+                value = F.lower(F.trim(value.cast("string")))
+            if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)) and a.json:
+                value = F.to_json(value)
+            value = value.cast(a.dtype)
         if a.has_default and a.default is not None:
             value = F.coalesce(value, F.lit(default_of(a)).cast(a.dtype))
+        if a.autoincrement:
+            most = catalog.rows(table).agg(F.max(a.name)).first()[0] or 0
+            value = F.coalesce(value, (F.monotonically_increasing_id() + 1 + most).cast(a.dtype))
         columns.append(value.alias(a.name))
     return df.select(*columns)
 
@@ -194,6 +214,10 @@ def violations(catalog: Catalog, table: str, df: DataFrame, present: DataFrame,
             checks.append((IntegrityError, f"{a.name} is null", df.filter(F.col(a.name).isNull())))
         if a.enum:
             checks.append((IntegrityError, f"{a.name} is none of {a.enum}", df.filter(F.col(a.name).isNotNull() & ~F.col(a.name).isin(*a.enum))))
+        if a.declared == "uuid":
+            checks.append((IntegrityError, f"{a.name} is no uuid", df.filter(~F.col(a.name).rlike(UUID))))
+        if a.json and not a.codec:
+            checks.append((IntegrityError, f"{a.name} is no JSON", df.filter(F.col(a.name).isNotNull() & F.try_parse_json(F.col(a.name)).isNull())))
         if (most := length_of(a.declared)) is not None:
             checks.append((IntegrityError, f"{a.name} has more than {most} characters", df.filter(F.length(a.name) > most)))
     for f in d.foreign_keys if parents else []:
@@ -211,6 +235,8 @@ def violations(catalog: Catalog, table: str, df: DataFrame, present: DataFrame,
 
 
 def insert(catalog: Catalog, table: str, rows: Any, replace: bool = False, skip_duplicates: bool = False, ignore_extra_fields: bool = False, chunk_size: int | None = None) -> None:
+    if not catalog.in_transaction:
+        catalog.refresh()
     d = catalog.definition(table)
     if chunk_size is not None:
         if isinstance(rows, (DataFrame, Relation)):
@@ -219,15 +245,22 @@ def insert(catalog: Catalog, table: str, rows: Any, replace: bool = False, skip_
         for a in range(0, len(rows), chunk_size):
             insert(catalog, table, rows[a : a + chunk_size], replace, skip_duplicates, ignore_extra_fields)
         return
+    if not isinstance(rows, (DataFrame, Relation)):
+        rows = records(rows, d.heading.names)  # once, whatever gives them
+        if not rows:
+            return
+    catalog.atomic(lambda: _insert(catalog, table, rows, replace, skip_duplicates, ignore_extra_fields))
+
+
+def _insert(catalog: Catalog, table: str, rows: DataFrame | Relation | list[dict[str, Any]], replace: bool, skip_duplicates: bool, ignore_extra_fields: bool) -> None:
+    """Within a transaction: rows are written once, checked as written against the transaction's snapshot, and then taken in."""
+    d = catalog.definition(table)
     if isinstance(rows, (DataFrame, Relation)):
         source = rows.df if isinstance(rows, Relation) else rows
         # a query gives its common attributes; a DataFrame must fit unless extra columns are to be ignored
         df = from_frame(catalog, table, source, ignore_extra_fields or isinstance(rows, Relation))
     else:
-        listed = records(rows, d.heading.names)
-        if not listed:
-            return
-        stored, found = check_rows(listed, d.heading.every, ignore_extra_fields, table)
+        stored, found = check_rows(rows, d.heading.every, ignore_extra_fields, table)
         if not found:
             raise (KeyloomError if all(e != "a value is needed" for _, _, e in found.errors) else IntegrityError)(f"{table}: {found.summary()}")
         numbered(catalog, table, stored)
@@ -237,11 +270,19 @@ def insert(catalog: Catalog, table: str, rows: Any, replace: bool = False, skip_
     if skip_duplicates:
         # only the primary key's duplicates are skipped; other unique keys still count
         df = df.dropDuplicates(key).join(present.select(*key), key, "left_anti")
-    if replace:
+    elif replace:
         df = df.dropDuplicates(key)
-        others = present.join(df.select(*key), key, "left_anti")
-        violations(catalog, table, df, others)
-        catalog.rewrite(table, others.unionByName(df))
-        return
-    violations(catalog, table, df, present)
-    catalog.append(table, df)
+    places = [catalog.stage(table, df)]
+    try:
+        new = catalog.part(table, places[0])
+        if replace:
+            others = present.join(new.select(*key), key, "left_anti")
+            violations(catalog, table, new, others)
+            places.append(catalog.stage(table, others))
+        else:
+            violations(catalog, table, new, present)
+    except Exception:
+        for p in places:
+            catalog.store.delete(p)
+        raise
+    catalog.adopt(table, places, instead=replace)

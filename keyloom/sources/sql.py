@@ -36,20 +36,40 @@ def frame(catalog: Catalog, sql: str, args: Any = None) -> DataFrame:
 
 
 class QueryCache:
-    """Results kept as Parquet under the hash of their plan. A plan names the snapshots that it reads, so that a changed table has
-    another plan and stale results are never found."""
+    """Results kept as Parquet under the hash of their plan: the canonical plan in full, and of each leaf, in the plan's order, the
+    files that it reads. A changed table has other files, so stale results are never found. Plans with other leaves than files, such
+    as local rows, and plans that may give other rows when run again have no name and aren't kept."""
 
     def __init__(self, catalog: Catalog, folder: str = "cache"):
         self.catalog, self.folder = catalog, folder
 
-    def key(self, relation: Relation) -> str:
+    def key(self, relation: Relation) -> str | None:
+        spark = self.catalog.spark
         plan = relation.df._jdf.queryExecution().optimizedPlan()
-        text = re.sub(r"#\d+L?", "#", plan.canonicalized().toString()) + "".join(sorted(relation.df.inputFiles()))
-        return hashlib.md5(text.encode()).hexdigest()
+        leaves = plan.collectLeaves()
+        files = []
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+                return None
+            files.append(sorted(leaf.relation().location().inputFiles()))
+        if not plan.deterministic() or "subquery" in plan.toString():
+            return None
+        name = "spark.sql.debug.maxToStringFields"
+        before = spark.conf.get(name)
+        try:  # long lists of fields are to be written in full
+            spark.conf.set(name, str((1 << 31) - 1))
+            text = plan.canonicalized().toString()
+        finally:
+            spark.conf.set(name, before)
+        return hashlib.sha256(repr((text, files, relation.df.schema.json())).encode()).hexdigest()
 
     def get(self, relation: Relation) -> Relation:
         """The relation, read from its kept result; computed and kept if there is none."""
-        store, name = self.catalog.store, f"{self.folder}/{self.key(relation)}"
+        key = self.key(relation)
+        if key is None:
+            return relation
+        store, name = self.catalog.store, f"{self.folder}/{key}"
         if not store.exists(f"{name}/_SUCCESS"):
             relation.df.write.mode("overwrite").parquet(store.full(name))
         df = self.catalog.spark.read.schema(relation.df.schema).parquet(store.full(name))

@@ -166,6 +166,9 @@ class Table(metaclass=TableMeta):
             raise KeyloomError(f"update1 needs the whole key; {missing} is missing")
         if unknown := [n for n in row if n not in d.heading]:
             raise KeyloomError(f"no such attributes: {unknown}")
+        self.catalog.atomic(lambda: self._update(d, key, row))
+
+    def _update(self, d: Definition, key: list[str], row: dict[str, Any]) -> None:
         where = {k: row[k] for k in key}
         if len(self.catalog.relation(self.full_name) & where) != 1:
             raise KeyloomError(f"update1 needs one entity {where}")
@@ -190,8 +193,20 @@ class Table(metaclass=TableMeta):
     # ---- deletion
 
     def delete_quick(self) -> int:
-        """Delete the entities without looking at what depends on them; how many."""
+        """Delete the entities, which nothing may depend on; how many."""
+        return self.catalog.atomic(self._delete)
+
+    def _delete(self, checked: bool = False) -> int:
+        """checked: what depends on them is known to be gone."""
         table = self.full_name
+        for e in [] if checked else Graph(self.catalog).every:
+            if e.parent == table and self.restriction is None and e.child == table:
+                continue  # all go, and what refers to them with them
+            if e.parent == table:
+                gone = self.as_relation().df.select(*[F.col(p).alias(c) for c, p in e.columns])
+                if hit := self.catalog.rows(e.child).join(gone, [c for c, _ in e.columns], "left_semi").limit(1).collect():
+                    if e.child != table or not (self.as_relation() & {k: hit[0][k] for k in self.primary_key}):
+                        raise IntegrityError(f"{e.child} depends on entities of {table}; delete takes both")
         if self.restriction is None:
             n = len(self)
             self.catalog.rewrite(table, self.catalog.rows(table).limit(0))
@@ -206,23 +221,24 @@ class Table(metaclass=TableMeta):
     def delete(self, transaction: bool = True, prompt: Callable[[dict[str, int]], bool] | None = None, part_integrity: str = "enforce") -> int:
         """Delete the entities and all that depends on them, at once; how many of this table. prompt sees the counts and may
         refuse."""
-        graph = Graph(self.catalog)
-        found = graph.cascade(self.full_name, self.as_relation(), part_integrity)
-        counts = found.counts()
-        if prompt is not None and not prompt(counts):
-            return 0
 
-        def run() -> None:
+        def cascade() -> int:
+            graph = Graph(self.catalog)
+            seed = self.catalog.relation(self.full_name)
+            if self.restriction is not None:  # as the transaction sees them
+                seed = seed.restrict(self.restriction.proj(), semantic_check=False)
+            found = graph.cascade(self.full_name, seed, part_integrity)
+            counts = found.counts()
+            if prompt is not None and not prompt(counts):
+                return 0
             for t in reversed([t for t in graph.sorted() if t in found]):
                 if counts[t]:
-                    FreeTable(self.catalog, t)._restricted(found[t]).delete_quick()
+                    FreeTable(self.catalog, t)._restricted(found[t])._delete(checked=True)
+            return counts[self.full_name]
 
-        if transaction and not self.catalog.in_transaction:
-            with self.catalog.transaction():
-                run()
-        else:
-            run()
-        return counts[self.full_name]
+        if transaction:
+            return self.catalog.atomic(cascade)
+        return cascade()
 
     def drop_quick(self) -> None:
         self._whole("dropped")
@@ -254,6 +270,9 @@ class Table(metaclass=TableMeta):
         """Change the comment and secondary attributes. A comment that begins with {old} renames the attribute old, whose values
         stay, whatever its type. The key, foreign keys and indexes can't change."""
         self._whole("altered")
+        self.catalog.atomic(lambda: self._alter(definition))
+
+    def _alter(self, definition: str) -> None:
         old = self.catalog.definition(self.full_name)
         new = parse(definition, resolver(self.catalog, self.full_name.split(".")[0], {}), self.full_name)
         if [(a.name, a.declared) for a in new.heading.every if a.in_key] != [(a.name, a.declared) for a in old.heading.every if a.in_key]:

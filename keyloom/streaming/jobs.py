@@ -20,6 +20,8 @@ if TYPE_CHECKING:
 
 #: Characters of an error's text that are kept.
 ERROR_LENGTH = 2047
+#: Seconds after which a claim whose owner has not marked the job may be taken over.
+CLAIM_SECONDS = 60
 
 
 class Jobs:
@@ -86,8 +88,18 @@ class Jobs:
 
     def reserve(self, key: dict[str, Any]) -> bool:
         name = self._name(key)
-        if (self._read(name) or {"status": "pending"})["status"] != "pending" or not self.store.publish(f"{self.folder}/{name}.claim", b"1"):
+        claim, owner = f"{self.folder}/{name}.claim", json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "time": time.time()}).encode()
+        if (self._read(name) or {"status": "pending"})["status"] != "pending":
             return False
+        if not self.store.publish(claim, owner):
+            # its owner may have died between the claim and the mark
+            try:
+                old = json.loads(self.store.read(claim))["time"]
+            except MissingError:
+                return False
+            if old > time.time() - CLAIM_SECONDS or not self.store.publish(f"{claim}.{old}", owner):
+                return False  # one of those who see an old claim may take it over
+            self.store.write(claim, owner)
         self._write(key, status="reserved", reserved=time.time(), host=socket.gethostname(), pid=os.getpid())
         return True
 
