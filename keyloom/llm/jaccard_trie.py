@@ -45,7 +45,7 @@ from .common import among, number, original, packed, saved, small_batches, unpac
 from .components import connected
 from .context_tree import tokens
 
-BLOCK, BLOCK_SIZE, PROBES = 250, 200_000, 1000
+BLOCK, BLOCK_SIZE, PROBES = 1000, 500_000, 1000
 #: Hashes that a set signs under at most; differing elements up to which classes count whole.
 SEEDS, FEW = 16, 8
 #: Signatures that a task gathers before it sends them, bytes of text that send one shard theirs, and bits of a signature.
