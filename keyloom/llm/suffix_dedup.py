@@ -21,7 +21,8 @@ travel compressed. Buckets are as many as keep each at about BUCKET bytes.
 
 Defined results: a null text counts as empty; texts shorter than length lose nothing; a null id is greater than all others;
 rows of one id never take strings from each other, and repeated rows get equal results; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored. Rows meet by id, and of ids with several texts (null ids, say) by the text's hash too, so that
+no id gathers many texts in one place.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ LENGTH, BUCKET, BATCH, LEVEL = 50, 6_000_000, 6_000_000, 5
 CROWDED = 2
 #: Segments that a task holds before it sends them.
 PIECES = 400_000
+#: Ids with several texts that are broadcast; more meet the texts in a join.
+SEVERAL = 500_000
 _MULS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
 
@@ -294,7 +297,7 @@ def _sizes(length: int, buckets: int) -> Callable:
 
 
 def _send(length: int, buckets: int, wide: dict[int, tuple[int, int]]) -> Callable:
-    """Documents (id, h, rank, z) to blobs of segments by bucket. Rank 0: a copy, which sends none. wide: of buckets that would
+    """Documents (id, salt, rank, z) to blobs of segments by bucket. Rank 0: a copy, which sends none. wide: of buckets that would
     grow too large, the first and the number of those that take its windows one by one, by the windows' own hash."""
     crowded = np.array(sorted(wide), np.int64)
 
@@ -339,7 +342,7 @@ def _send(length: int, buckets: int, wide: dict[int, tuple[int, int]]) -> Callab
         for some in np.split(np.arange(len(home)), np.flatnonzero(home[1:] != home[:-1]) + 1):
             who, at = np.unique(owner[some], return_inverse=True)
             ids = np.array([docs[d][0] for d in who], np.int64)
-            ranks = np.array([docs[d][1] for d in who], np.int32)
+            ranks = np.array([docs[d][1] for d in who], np.int64)
             head = np.array([len(who), len(some)], np.int32)
             turn = np.diff(at, prepend=0).astype(np.int32)
             body = b"".join(x.tobytes() for x in (head, np.diff(ids, prepend=0), ranks, turn, start[some], size[some])) + b"".join([pieces[order[i]] for i in some])
@@ -364,7 +367,7 @@ def _receive(length: int) -> Callable:
             docs, n = np.frombuffer(raw, np.int32, 2)
             spot = 8
             cols = []
-            for kind, count in ((np.int64, docs), (np.int32, docs), (np.int32, n), (np.int32, n), (np.int32, n)):
+            for kind, count in ((np.int64, docs), (np.int64, docs), (np.int32, n), (np.int32, n), (np.int32, n)):
                 cols.append(np.frombuffer(raw, kind, count, spot))
                 spot += cols[-1].nbytes
             at = np.cumsum(cols[2])
@@ -404,7 +407,7 @@ def _receive(length: int) -> Callable:
         now, blobs, found = None, [], []
 
         def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=["id", "rank", "spans"])
+            return pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=["id", "rank", "spans"])
 
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -431,7 +434,7 @@ def _cut(length: int) -> Callable:
             rows = []
             for i, rank, z, found in zip(*(b.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True):
                 text = unpack.decompress(z)
-                spans = [x for f in found or [] if f["rank"] == rank for x in f["spans"]]
+                spans = [x for f in found or [] for x in f]
                 if not rank:
                     spans = [0, len(text)] if len(text) >= length else []
                 if spans:
@@ -466,16 +469,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = small_batches(docs).select(number(id_col).alias("id"), text.alias("t"))
     sha = F.sha2("t", 256)
-    # of equal texts the smallest id; by id, the hashes of such texts: one, unless an id has several texts
+    code = lambda c: F.xxhash64(c).bitwiseOR(F.lit(2))  # noqa: E731  neither 0 nor 1, which are salts and ranks of their own
+    # of equal texts the smallest id
     first = rows.select("id", sha.alias("sha"), F.octet_length("t").alias("n")).groupBy("sha").agg(F.min("id").alias("own"), F.max("n").alias("n"))
-    first = saved(first.select("own", F.xxhash64("sha").alias("h"), "n"))
+    first = saved(first.select("own", code("sha").alias("k"), "n"))
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(16, 3 * total // BUCKET + 1)
-    heads = first.groupBy("own").agg(F.sort_array(F.collect_list("h")).alias("hs"))
-    packed = rows.select("id", F.xxhash64(sha).alias("h"), F.encode("t", "UTF-8").alias("t")).mapInArrow(_packed, "id long, h long, z binary")
-    # this join deals the texts by id, once: Spark reuses that exchange for the join at the end
-    ranked = packed.join(heads.hint("merge"), F.col("id") == F.col("own"), "left")
-    ranked = ranked.select("id", "h", F.coalesce(F.array_position("hs", F.col("h")), F.lit(0)).cast("int").alias("rank"), "z")
+    # a text is known by its id and 0, or by its id and hash where the id has several such texts
+    several = saved(first.groupBy("own").agg(F.count("*").alias("texts")).filter("texts > 1").select(F.col("own").alias("many")))
+    several = F.broadcast(several) if several.count() <= SEVERAL else several
+    salted = lambda df, i, h: df.join(several, F.col(i) == F.col("many"), "left").withColumn("salt", F.when(F.col("many").isNull(), F.lit(0)).otherwise(F.col(h))).drop("many")
+    heads = salted(first, "own", "k").select("own", "k", F.col("salt").alias("own_salt"))
+    packed = rows.select("id", code(sha).alias("h"), F.encode("t", "UTF-8").alias("t")).mapInArrow(_packed, "id long, h long, z binary")
+    # this join deals the texts, once: Spark reuses that exchange for the join at the end
+    ranked = salted(packed, "id", "h").join(heads.hint("merge"), (F.col("id") == F.col("own")) & (F.col("salt") == F.col("own_salt")), "left")
+    rank = F.when(F.col("h") == F.col("k"), F.when(F.col("salt") == 0, F.lit(1)).otherwise(F.col("salt"))).otherwise(F.lit(0))
+    ranked = ranked.select("id", "salt", rank.cast("long").alias("rank"), "z")
     # minimizers that many different neighbourhoods share: their buckets' windows are dealt once more, by their own hash
     sizes = rows.select(F.encode("t", "UTF-8").alias("t")).mapInArrow(_sizes(length, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     wide, next_ = {}, buckets
@@ -483,8 +492,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         wide[b] = (next_, length * n // BUCKET + 1)
         next_ += wide[b][1]
     blobs = ranked.mapInArrow(_send(length, buckets, wide), "bucket long, blob binary")
-    spans = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_receive(length), "id long, rank int, spans array<int>")
-    spans = spans.select(F.col("id").alias("of"), F.struct("rank", "spans").alias("f")).groupBy("of").agg(F.collect_list("f").alias("found"))
-    met = ranked.join(spans.hint("merge"), F.col("id") == F.col("of"), "left").select("id", "h", "rank", "z", "found")
+    spans = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_receive(length), "id long, rank long, spans array<int>")
+    spans = spans.select(F.col("id").alias("of"), F.when(F.col("rank") == 1, F.lit(0)).otherwise(F.col("rank")).alias("of_salt"), "spans").groupBy("of", "of_salt").agg(F.collect_list("spans").alias("found"))
+    met = ranked.join(spans.hint("merge"), (F.col("id") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left").select("id", "salt", "rank", "z", "found")
     out = met.mapInArrow(_cut(length), "id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
     return out.select(original("id").alias("doc_id"), "n_bytes", "spans", "kept")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -92,6 +93,20 @@ def test_suffix_dedup_one_id_with_several_texts(spark):
     assert multiset(dicts(digest(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))))) == multiset(brute_repeats(rows))
 
 
+@pytest.mark.parametrize("several", [0, 500_000])
+def test_suffix_dedup_ids_with_many_texts(spark, monkeypatch, several):
+    """A third of the rows has a null id and a text each; ids with several texts are broadcast, or meet the texts in a join."""
+    monkeypatch.setattr("keyloom.llm.suffix_dedup.SEVERAL", several)
+    r = random.Random(6)
+    shared = " ".join(f"s{r.random()}" for _ in range(8))
+    texts = [" ".join(f"w{r.random()}" for _ in range(12)) + r.choice(["", f" {shared}"]) for _ in range(120)]
+    rows = [(None if k % 3 == 0 else k // 4, t) for k, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (7, rows[3][1]), (None, rows[1][1]), (None, None), (None, "")]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert multiset(dicts(digest(remove_repeats(df)))) == multiset(brute_repeats(rows))
+
+
 @pytest.mark.parametrize("text", [b"banana", b"mississippi", b"aaaaaaaaaa", b"abcabcabcabc", bytes(range(255, 0, -1)), b"a", b"ba" * 200 + b"a" * 50])
 def test_two_stage_sort(text):
     order, _ = two_stage_sort(np.frombuffer(text, np.uint8), 50)
