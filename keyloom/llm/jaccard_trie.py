@@ -17,9 +17,9 @@ bytes, and send each shard one piece of a batch; a signature that several sets o
 of them, and the others learn the lead that the shard finds in a join on signature and batch. A signature that a third of all sets
 share thus sends a shard one entry a batch. Texts travel only for sets with a family: a table of bits keeps the others back.
 
-Within a family the sets are stored in a trie in global order. Each set traverses the trie of those before it, sharing the
-overlap of common beginnings; a subtree is left when even all remaining elements can't reach the threshold, or when it lies
-wholly in the component of the traversing set already. What is returned are the links that join components, not all pairs.
+Within a family the sets are stored in a trie in global order, held as arrays. Each set traverses it level by level, sharing the
+overlap of common beginnings; a subtree is left when even all remaining elements can't reach the threshold, or when it holds
+no set after the traversing one that isn't of its component already. What is returned are the links that join components, not all pairs.
 
 A family of more than BLOCK sets, or of more than BLOCK_SIZE elements, is cut into blocks, each with the lead. Sets that a block doesn't connect with the
 central one are then joined against all other blocks, so that no link is lost and no task holds more than a block and as many
@@ -50,6 +50,8 @@ BLOCK, BLOCK_SIZE, PROBES = 1000, 500_000, 1000
 SEEDS, FEW = 16, 8
 #: Signatures that a task gathers before it sends them, bytes of text that send one shard theirs, and bits of a signature.
 GATHERED, SHARE, SIGN_BITS = 1_500_000, 20_000_000, 48
+#: Elements of a run of the trie before it is parted.
+EDGE = 16
 #: Tasks that families are dealt to at most.
 TASKS = 100_000
 #: Kinds of rows that tasks give: a document's set, a batch's signatures for a shard, and those of a batch that share one.
@@ -146,116 +148,133 @@ class Measure:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-class Forest:
-    """Union-find; the smaller root stays."""
-
-    def __init__(self):
-        self.up: list[int] = []
-
-    def add(self) -> int:
-        self.up.append(len(self.up))
-        return len(self.up) - 1
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def union(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-class Node:
-    __slots__ = ("edge", "depth", "low", "high", "kids", "members", "one", "mixed")
-
-    def __init__(self, edge: np.ndarray, depth: int, size: int, member: int):
-        self.edge, self.depth = edge, depth  # elements from the parent, and on the whole path
-        self.low = self.high = size  # sizes of the sets below
-        self.kids: dict[int, Node] = {}
-        self.members: list[int] = []
-        self.one, self.mixed = member, False  # a member below, and whether several components may lie below
-
-
 class Trie:
-    def __init__(self, measure: Measure):
-        self.measure, self.forest, self.sets = measure, Forest(), []
-        self.root = Node(np.zeros(0, np.uint64), 0, 0, -1)
-
-    def insert(self, s: np.ndarray, k: int) -> None:
-        node, at, find = self.root, 0, self.forest.find
-        while True:
-            if node is not self.root:
-                node.low, node.high = min(node.low, len(s)), max(node.high, len(s))
-                node.mixed = node.mixed or find(node.one) != find(k)
-            if at == len(s):
-                node.members.append(k)
-                return
-            kid = node.kids.get(int(s[at]))
-            if kid is None:
-                kid = node.kids[int(s[at])] = Node(s[at:], len(s), len(s), k)
-                kid.members.append(k)
-                return
-            rest = s[at : at + len(kid.edge)]
-            same = kid.edge[: len(rest)] == rest
-            common = len(rest) if same.all() else int(same.argmin())
-            if common < len(kid.edge):  # part the edge
-                upper = Node(kid.edge[:common], node.depth + common, kid.low, kid.one)
-                upper.high, upper.mixed = kid.high, kid.mixed
-                upper.kids[int(kid.edge[common])] = kid
-                kid.edge = kid.edge[common:]
-                node.kids[int(s[at])] = upper
-                kid = upper
-            at += common
-            node = kid
-
-    def settled(self, node: Node, root: int) -> bool:
-        """Whether all below is of that component."""
-        find = self.forest.find
-        if node.mixed and not any(x.mixed for x in node.kids.values()):
-            here = find(node.one)
-            node.mixed = any(find(x.one) != here for x in node.kids.values()) or any(find(x) != here for x in node.members)
-        return not node.mixed and find(node.one) == root
-
-    def traverse(self, s: np.ndarray, k: int, linked: Callable[[int], None]) -> None:
-        per, n, forest = self.measure.per, len(s), self.forest
-        up, down = 100 + per, per
-        todo = [(x, 0, 0) for x in self.root.kids.values()]
-        while todo:
-            node, used, overlap = todo.pop()
-            if self.settled(node, forest.find(k)):
-                continue
-            edge = node.edge
-            at = np.searchsorted(s[used:], edge)
-            overlap += int((s[used:][np.minimum(at, n - used - 1)] == edge).sum()) if n > used else 0
-            used += int(np.searchsorted(s[used:], edge[-1], side="right"))
-            left = n - used
+    """Sets in a trie in global order, held as arrays, so that a traversal handles all nodes of one level together. A node is a run of
+    elements that the sets below it share at one place; long runs are parted (EDGE elements, then twice as many), so that the bound
+    applies early. Sets are known by their place in the order; label tells components."""
+
+    def __init__(self, measure: Measure, sets: list[np.ndarray]):
+        self.measure, self.sets = measure, sets
+        self.universe = np.unique(np.concatenate(sets))
+        self.has = np.zeros(len(self.universe), np.uint8)
+        coded = [np.searchsorted(self.universe, s).astype(">u4") for s in sets]
+        keys = [c.tobytes() for c in coded]
+        self.order = sorted(range(len(sets)), key=keys.__getitem__)
+        self.label = np.arange(len(sets))
+        self.twins: list[tuple[int, int]] = []  # places of equal sets
+        # nodes: the one above, depths where the run begins and ends, place of a set below, place of the set that ends here
+        up, start, depth, low_place, member = [-1], [0], [0], [0], [-1]
+        path = [0]
+
+        def grow(begin: int, end: int, place: int, ends: int) -> None:
+            for column, x in zip((up, start, depth, low_place, member), (path[-1], begin, end, place, ends), strict=True):
+                column.append(x)
+            path.append(len(up) - 1)
+
+        for p, i in enumerate(self.order):
+            s, common, last = coded[i], 0, -1
+            if p:
+                t = coded[self.order[p - 1]]
+                same = s[: len(t)] == t[: len(s)]
+                common = len(same) if same.all() else int(same.argmin())
+            while depth[path[-1]] > common:
+                last = path.pop()
+            if depth[path[-1]] < common:
+                grow(depth[path[-1]], common, low_place[last], -1)
+                up[last], start[last] = path[-1], common
+            if common == len(s):
+                self.twins.append((p, member[path[-1]]))
+                self.label[p] = self.label[member[path[-1]]]
+            else:
+                grow(common, len(s), p, p)
+        low = [d if m >= 0 else 1 << 60 for d, m in zip(depth, member, strict=True)]  # sizes of the sets below
+        high = [d if m >= 0 else 0 for d, m in zip(depth, member, strict=True)]
+        beyond = [m + 1 for m in member]  # places below: low_place up to here
+        for p, q in self.twins:
+            k = member.index(q)
+            beyond[k] = max(beyond[k], p + 1)
+        kids: list[list[int]] = [[] for _ in up]
+        for k in sorted(range(1, len(up)), key=depth.__getitem__, reverse=True):
+            u = up[k]
+            low[u], high[u], beyond[u] = min(low[u], low[k]), max(high[u], high[k]), max(beyond[u], beyond[k])
+            kids[u].append(k)
+        parts, runs, kid_from, kid_to = [(k, 0) for k in kids[0]], [], [], []
+        self.tops = len(parts)
+        for k, a in parts:  # grows as it is read, so that what hangs below one part is in one piece
+            z = min(depth[k], a + max(EDGE, a - start[k]))
+            kid_from.append(len(parts))
+            parts += [(k, z)] if z < depth[k] else [(x, z) for x in kids[k]]
+            kid_to.append(len(parts))
+            runs.append((k, a, z))
+        self.runs = np.concatenate([coded[self.order[low_place[k]]][a:z] for k, a, z in runs]).astype(np.int64)
+        self.run_at = np.cumsum([0, *(z - a for _, a, z in runs)])
+        self.final = self.universe[self.runs[self.run_at[1:] - 1]]
+        each = [(z, member[k] if z == depth[k] else -1, low[k], high[k], low_place[k], beyond[k]) for k, _, z in runs]
+        self.depth, self.member, self.low, self.high, self.first, self.beyond = np.array(each).T
+        self.kid_from, self.kid_to = np.array(kid_from), np.array(kid_to)
+
+    def linked(self, s: np.ndarray, settled: np.ndarray) -> np.ndarray:
+        """Places of the sets linked with s. A subtree is left if all its places are settled, or if even all remaining elements can't
+        reach the threshold."""
+        per, n = self.measure.per, len(s)
+        up = 100 + per
+        at = np.searchsorted(self.universe, s)
+        at = at[self.universe[np.minimum(at, len(self.universe) - 1)] == s]
+        self.has[at] = 1
+        done = np.cumsum(np.r_[0, settled])
+        node, overlap, out = np.arange(self.tops), np.zeros(self.tops, np.int64), []
+        while len(node):
+            a, z = self.first[node], self.beyond[node]
+            some = done[z] - done[a] < z - a
+            node, overlap = node[some], overlap[some]
+            if not len(node):
+                break
+            begin = self.run_at[node]
+            where, ahead = ragged(begin, self.run_at[node + 1] - begin)
+            overlap = overlap + np.add.reduceat(self.has[self.runs[where]], ahead, dtype=np.int64)
+            left = n - np.searchsorted(s, self.final[node], side="right")
+            depth = self.depth[node]
             # of the sizes below, the one that leaves most room: as many more elements as the set still has
-            size = min(max(node.depth + left, node.low), node.high)
-            if up * (overlap + min(left, size - node.depth)) < down * (n + size):
-                continue
-            for m in node.members:
-                if self.measure.linked(n, node.depth, overlap):
-                    linked(m)
-                break  # members of one node have equal sets, which are linked already
-            todo += [(x, used, overlap) for x in node.kids.values()]
-
-    def join(self, s: np.ndarray, stored: bool = True) -> tuple[int, list[int]]:
-        """Link a set with those before it; returns its number and the members that it met in other components."""
-        k, met = self.forest.add(), []
-
-        def linked(m: int) -> None:
-            if self.forest.union(m, k):
-                met.append(m)
-
-        self.traverse(s, k, linked)
-        if stored:
-            self.insert(s, k)
-        return k, met
+            size = np.minimum(np.maximum(depth + left, self.low[node]), self.high[node])
+            good = up * (overlap + np.minimum(left, size - depth)) >= per * (n + size)
+            node, overlap, depth = node[good], overlap[good], depth[good]
+            member = self.member[node]
+            out.append(member[(member >= 0) & (up * overlap >= per * (n + depth))])
+            count = self.kid_to[node] - self.kid_from[node]
+            node, overlap = ragged(self.kid_from[node], count)[0], np.repeat(overlap, count)
+        self.has[at] = 0
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def meet(self, found: np.ndarray, label: int) -> Iterator[int]:
+        """One of the places found for each component other than label, which all become that."""
+        names, first = np.unique(self.label[found], return_index=True)
+        for name, k in zip(names.tolist(), first.tolist(), strict=True):
+            if name != label:
+                self.label[self.label == name] = label
+                yield self.order[found[k]]
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Pairs of sets that connect the components among the trie's own."""
+        yield from ((self.order[p], self.order[q]) for p, q in self.twins)
+        for p, i in enumerate(self.order):  # a set meets those after it
+            label = int(self.label[p])
+            settled = self.label == label
+            settled[: p + 1] = True
+            if not settled.all():
+                found = self.linked(self.sets[i], settled)
+                yield from ((i, j) for j in self.meet(found[found > p], label))
+
+    def probed(self, probes: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """Pairs of a probe and a set that connect components."""
+        nothing = np.zeros(len(self.sets), bool)
+        for k, s in enumerate(probes):
+            yield from ((k, j) for j in self.meet(self.linked(s, nothing), len(self.sets) + k))
+
+
+def ragged(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of each range one after another, and where each range's begin."""
+    ahead = np.cumsum(length) - length
+    return np.repeat(begin - ahead, length) + np.arange(int(length.sum())), ahead
 
 
 _KINDS = [("kind", pa.int32()), ("uid", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("shard", pa.int32()), ("sign", pa.int64()), ("codes", pa.binary()), ("leads", pa.binary()), ("members", pa.list_(pa.int64()))]
@@ -381,18 +400,17 @@ def _linked(width: int, measure: Measure) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int | None]] = []
         for (lead, _), rows in _groups(batches):
-            rows.sort(key=lambda r: (r[1], r[0] != lead, r[0]))
-            trie, name = Trie(measure), []
-            probing = rows[-1][1]
-            for i, probe, t in rows:
-                s = shingle_set(t, width)
-                _, met = trie.join(s, stored=not probe)
-                name.append(i)
-                out += [(lead, i, name[m]) for m in met if name[m] != i]
-            if not probing:
-                find = trie.forest.find
-                centre = {find(k) for k, i in enumerate(name) if i == lead}
-                out += [(lead, i, None) for k, i in enumerate(name) if find(k) not in centre]
+            stored, probes = ([(i, shingle_set(t, width)) for i, probe, t in rows if probe == which] for which in (False, True))
+            if not stored:
+                continue
+            trie, name = Trie(measure, [s for _, s in stored]), [i for i, _ in stored]
+            if probes:  # the block's own links are known
+                out += [(lead, probes[k][0], name[j]) for k, j in trie.probed([s for _, s in probes]) if probes[k][0] != name[j]]
+            else:
+                out += [(lead, name[i], name[j]) for i, j in trie.links() if name[i] != name[j]]
+                label = dict(zip(trie.order, trie.label.tolist(), strict=True))
+                centre = {label[k] for k, i in enumerate(name) if i == lead}
+                out += [(lead, i, None) for k, i in enumerate(name) if label[k] not in centre]
             if len(out) > 10_000:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["lead", "a", "b"])
                 out = []
