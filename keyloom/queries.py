@@ -436,7 +436,8 @@ def scalar_functions(t):
 
 @query("SELECT c_custkey, c_acctbal::INT AS whole, 'q:' || c_mktsegment AS text FROM customer WHERE c_acctbal BETWEEN 100.5 AND 900.25 AND c_mktsegment IS NOT NULL")
 def casts_and_between(t):
-    return (t.customer & "c_acctbal between 100.5 and 900.25" & "c_mktsegment is not null").proj(whole="cast(round(c_acctbal) as int)", text="'q:' || c_mktsegment")
+    # the SQL's cast takes halves of a double to the even number, as rint does; Spark's cast cuts, and its round takes them away from zero
+    return (t.customer & "c_acctbal between 100.5 and 900.25" & "c_mktsegment is not null").proj(whole="cast(rint(c_acctbal) as int)", text="'q:' || c_mktsegment")
 
 
 @query("""SELECT c_custkey FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k, nullif(c_mktsegment, 'BUILDING') AS m FROM customer) c

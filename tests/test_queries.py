@@ -41,6 +41,20 @@ def test_against_sql(spark, duck, name):
     compare(spark, duck, queries.QUERIES[name], queries.ORACLE[name])
 
 
+def test_halves_are_cast_as_in_sql(spark, tmp_path):
+    """Halves go to the even number; limits count, nulls and what is no number don't."""
+    balances = [100.49, 100.5, 101.5, 102.5, 200.49999999999997, 200.50000000000003, 900.0, 900.25, 900.26, -101.5, -0.0, 1e300, math.nan, math.inf, None]
+    rows = [(i, f"c{i}", i % 25, b, "MACHINERY") for i, b in enumerate(balances)] + [(99, "c99", 3, 300.5, None), (100, "c100", 3, 300.5, "")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    got = queries.QUERIES["casts_and_between"](spark, str(tmp_path)).select("c_custkey", "whole", "text")
+    assert got.schema["whole"].dataType.simpleString() == "int"
+    found = sorted(tuple(r) for r in got.collect())
+    assert found == sorted(con.execute(queries.ORACLE["casts_and_between"]).fetchall())
+    assert [r[1] for r in found] == [100, 102, 102, 200, 201, 900, 900, 300]
+
+
 def test_entry(spark):
     import __spark_entry__
 
